@@ -94,7 +94,7 @@ def token_ngrams(spark, sf_dir):
     )
     grams = F.map_from_arrays(
         F.array(*[F.lit(n).cast("long") for n in bleu.ORDERS]),
-        F.array(*[tokens.ngrams(F.col("t"), n) for n in bleu.ORDERS]),
+        F.array(*[tokens.ngrams("t", n) for n in bleu.ORDERS]),
     )
     per_order = items.select("item_id", F.explode(grams).alias("n", "grams"))
     return per_order.select("item_id", "n", F.explode("grams").alias("gram"))

@@ -87,16 +87,16 @@ def with_word_counts(
     )
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams in order, tokens joined by one space; empty when too short.
+def ngrams(tokens: str, n: int) -> Column:
+    """All n-grams of an array column in order, tokens joined by one space; empty when too short.
 
-    Tokens never contain a space, so the joined form is unambiguous.
-    ``tokens`` should be a stored column: the lambda looks into it per element.
+    Tokens never contain a space, so the joined form is unambiguous. Takes a
+    column name: the tokens are looked up once per n-gram and must be stored.
     """
     if n == 1:
-        return tokens
-    heads = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(
-        heads,
-        lambda head, i: F.concat_ws(" ", head, *[F.get(tokens, i + k) for k in range(1, n)]),
+        return F.col(tokens)
+    t = f"`{tokens}`"
+    rest = "".join(f" || ' ' || {t}[i + {k}]" for k in range(1, n))
+    return F.expr(
+        f"transform(slice({t}, 1, greatest(size({t}) - {n - 1}, 0)), (head, i) -> head{rest})"
     )

@@ -19,40 +19,35 @@ ORDERS = (1, 2, 3, 4)
 ALPHA = 0.7
 
 
-def clipped_matches(prediction: Column, reference: Column) -> Column:
-    """Size of the multiset intersection of two n-gram arrays (stored columns).
-
-    When either side has no repeats this is the number of shared n-grams. Otherwise both
-    sides are sorted together, predictions first among equals, and one pass
-    spends each prediction on at most one reference. Cost is that of the sort.
+def clipped_matches(prediction: str, reference: str) -> Column:
+    """Size of the multiset intersection of two n-gram array columns.
+
+    The first occurrences of each n-gram match as sets do, which built-in hashing
+    settles. If both sides have repeats, the repeats (equal neighbours once
+    sorted) are merged, predictions first among equals, and one pass spends each
+    prediction on at most one reference. Linear but for the sorts, and most
+    sentence pairs never get that far.
     """
-    shared = F.size(F.array_intersect(prediction, reference))
-
-    def repeats(grams: Column) -> Column:
-        return F.size(F.array_distinct(grams)) < F.size(grams)
-
-    def tag(grams: Column, side: int) -> Column:
-        return F.transform(grams, lambda g: F.struct(g.alias("gram"), F.lit(side).alias("side")))
-
-    def step(state: Column, item: Column) -> Column:
-        same = state["gram"].eqNullSafe(item["gram"])
-        unspent = F.when(same, state["unspent"]).otherwise(0)
-        hit = F.when((item["side"] == 1) & (unspent > 0), 1).otherwise(0)
-        return F.struct(
-            item["gram"].alias("gram"),
-            F.when(item["side"] == 0, unspent + 1).otherwise(unspent - hit).alias("unspent"),
-            (state["matches"] + hit).alias("matches"),
-        )
-
-    start = F.struct(
-        F.lit(None).cast("string").alias("gram"),
-        F.lit(0).alias("unspent"),
-        F.lit(0).alias("matches"),
-    )
-    merged = F.sort_array(F.concat(tag(prediction, 0), tag(reference, 1)))
-    counted = F.aggregate(merged, start, step, lambda state: state["matches"])
-    return F.when((shared > 0) & repeats(prediction) & repeats(reference), counted).otherwise(
-        shared
+    p, r = f"`{prediction}`", f"`{reference}`"
+
+    def repeats(grams: str, side: int) -> str:
+        again = f"transform(array(sort_array({grams})), s -> filter(s, (g, i) -> i > 0 AND g = s[i - 1]))[0]"
+        return f"transform({again}, g -> named_struct('gram', g, 'side', {side}))"
+
+    shared = f"size(array_intersect({p}, {r}))"
+    counted = f"""aggregate(sort_array(concat({repeats(p, 0)}, {repeats(r, 1)})),
+        named_struct('gram', string(null), 'unspent', 0, 'matches', 0),
+        (s, x) -> CASE
+            WHEN x.side = 0 THEN named_struct('gram', x.gram,
+                'unspent', if(s.gram <=> x.gram, s.unspent, 0) + 1, 'matches', s.matches)
+            WHEN s.gram <=> x.gram AND s.unspent > 0 THEN named_struct('gram', x.gram,
+                'unspent', s.unspent - 1, 'matches', s.matches + 1)
+            ELSE named_struct('gram', x.gram, 'unspent', 0, 'matches', s.matches) END,
+        s -> s.matches)"""
+    return F.expr(
+        f"""{shared} + CASE WHEN size(array_distinct({p})) < size({p})
+                             AND size(array_distinct({r})) < size({r})
+                        THEN {counted} ELSE 0 END"""
     )
 
 
@@ -75,13 +70,13 @@ def match_counts(
     )
     grams = tokens.select(
         *keep,
-        *[ngrams(F.col(f"{s}_1"), n).alias(f"{s}_{n}") for s in texts for n in ORDERS],
+        *[ngrams(f"{s}_1", n).alias(f"{s}_{n}") for s in texts for n in ORDERS],
     )
     return grams.select(
         *keep,
         *[F.size(f"{s}_1").alias(f"{s}_len") for s in texts],
         *[
-            clipped_matches(F.col(f"pred_{n}"), F.col(f"{r}_{n}")).alias(f"{r}_match_{n}")
+            clipped_matches(f"pred_{n}", f"{r}_{n}").alias(f"{r}_match_{n}")
             for r in references
             for n in ORDERS
         ],
