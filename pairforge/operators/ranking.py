@@ -235,11 +235,14 @@ def nth_key(df: DataFrame, n: int, key: str) -> int | None:
         return None
     while total > TOP_KEYS and high > low:
         width = (high - low) // RANGES + 1
-        # Subtracting in decimal: the span of two longs can exceed a long.
-        place = F.floor((F.col("k").cast("decimal(20,0)") - F.lit(low)) / F.lit(width))
+        # In decimal, since the span of two longs can exceed a long; div is exact.
+        place = F.expr(
+            f"(CAST(k AS DECIMAL(20, 0)) - CAST('{low}' AS DECIMAL(20, 0)))"
+            f" div CAST('{width}' AS DECIMAL(20, 0))"
+        )
         upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
         hit = (
-            keys.groupBy(place.cast("long").alias("range"))
+            keys.groupBy(place.alias("range"))
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumn("upto", F.sum("n").over(upto))
             .filter(F.col("upto") >= n)

@@ -51,7 +51,8 @@ def length_histogram(df: DataFrame, column: str) -> DataFrame:
     top = bounds["hi"] - 1
     counts = (
         df.filter(F.col(column).isNotNull())
-        .groupBy(F.least(F.col(column), top).alias("bin"))
+        .select(F.least(F.col(column), top).alias("bin"))
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # When all values are equal the sequence would count down: no bins instead.
@@ -86,7 +87,8 @@ def score_histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     counts = (
         df.filter(F.col(column).isNotNull())
         .withColumn("guess", guess)
-        .groupBy((F.col("guess") + F.coalesce(shift, F.lit(0))).alias("bin"))
+        .select((F.col("guess") + F.coalesce(shift, F.lit(0))).alias("bin"))
+        .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     n = F.coalesce("n", F.lit(0))

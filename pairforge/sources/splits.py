@@ -17,10 +17,8 @@ from pairforge.sources.readers import read_delimited, read_jsonl
 
 def file_format(name: str) -> str | None:
     """``csv`` or ``json`` from a file name, looking through a ``.gz``; None if neither."""
-    parts = name.rstrip("/").split(".")
-    if parts[-1] == "gz":
-        parts = parts[:-1]
-    return {"csv": "csv", "json": "json", "jsonl": "json"}.get(parts[-1])
+    suffix = name.rstrip("/").removesuffix(".gz").rpartition(".")[2]
+    return {"csv": "csv", "json": "json", "jsonl": "json"}.get(suffix)
 
 
 def load_splits(

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 ROLES = ("source", "target", "prediction")
-SPLITS = ("train", "validation", "test")
+# Spark trims fields on write unless told not to.
+PREDICTION_FORMAT = {
+    "sep": "\t",
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def _mode(skip_existing: bool) -> str:
@@ -23,7 +31,7 @@ def write_predictions(df: DataFrame, path: str, skip_existing: bool = False) ->
     (
         df.select(*ROLES)
         .write.mode(_mode(skip_existing))
-        .options(sep="\t", header="true", quote='"', escape='"')
+        .options(**PREDICTION_FORMAT)
         .csv(path)
     )
 
