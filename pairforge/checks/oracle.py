@@ -404,6 +404,11 @@ SELECT event_id,
   CASE l WHEN 'none' THEN 0 WHEN 'entailment' THEN 1 WHEN 'paraphrase' THEN 2 ELSE 3 END::BIGINT AS forced,
   CASE WHEN l <> 'odd' THEN l END AS name,
   s / 5 AS similarity, coalesce(s, 0.0::DOUBLE) AS forced_similarity FROM r""",
+    "labelled_pairs": f"""
+WITH {PAIRS} SELECT pair_id::VARCHAR AS id, source AS t, NULL::VARCHAR AS h,
+  CASE WHEN conv_id % 3 > 0 THEN 1::BIGINT END AS entailment,
+  CASE WHEN turn % 4 > 0 THEN 2.5::DOUBLE END AS similarity
+FROM pairs WHERE conv_id % 3 > 0 OR turn % 4 > 0""",
     "encode_arrays": """
 WITH w AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS ids FROM benchmark),
 p AS (SELECT item_id, ids, list_resize(ids[1:30], 30, 0) AS x, list_resize(ids[1:24], 24, 0) AS y FROM w)

@@ -18,7 +18,6 @@ from pairforge.checks.inputs import (
 from pairforge.compute import compute_once
 from pairforge.functions import arrays, labels, text, tokens, vectors
 from pairforge.operators import align, bleu, clusters, columns, metrics, prune, ranking, stats
-from pairforge.operators.inference import infer
 from pairforge.plans import filter_pairs as filtering
 from pairforge.plans import generate, parallel_text, profile_corpora
 from pairforge.runtime import fresh_path
@@ -541,6 +540,20 @@ def gen_len(spark, sf_dir):
     return stats.mean_length(rows, "ids", 0)
 
 
+@query
+def labelled_pairs(spark, sf_dir):
+    """Annotated pairs that carry at least one label; the others are set apart."""
+    rows = conversation_pairs(spark, sf_dir).select(
+        F.col("pair_id").cast("string").alias("_id"),
+        F.when(F.col("conv_id") % 3 > 0, "Entailment").otherwise("").alias("_entailment"),
+        F.when(F.col("turn") % 4 > 0, "2.5").alias("_similarity"),
+        F.col("source").alias("t"),
+        F.lit("").alias("h"),
+    )
+    labelled, _ = prune.split_by_labels(readers.annotated_pairs(rows, need_labels=False))
+    return _longs(prune.require_labels(labelled), "entailment")
+
+
 # --- models, files, streams ------------------------------------------------------
 
 

@@ -73,9 +73,11 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Unicode strip. The look-behind lets the right-hand pattern start only where
-    a run starts, so a long inner run costs linear time."""
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    """Unicode strip. The look-behind lets the right-hand pattern start only at the
+    first space of a run, so a long inner run costs linear time."""
+    return F.regexp_replace(
+        text, rf"(?U)\A{SPACE}++|{SPACE}(?<!{SPACE}{SPACE}){SPACE}*+\z", ""
+    )
 
 
 def drop_leading_hyphen(text: Column) -> Column:

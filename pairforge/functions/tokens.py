@@ -18,7 +18,7 @@ _DIGIT = r"\p{Nd}"
 _LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 # The alternatives, tried in this order.
-WORD_PATTERN = "(?Ud)" + "|".join(
+WORD_PATTERN = "(?d)" + "|".join(
     (
         rf"(?:{_LETTER}\.)+",  # one-letter abbreviations
         rf"{_DIGIT}+(?:[.,]{_DIGIT}+)*(?:[.,]{_DIGIT}+)",  # grouped numbers
@@ -26,7 +26,7 @@ WORD_PATTERN = "(?Ud)" + "|".join(
         rf"{_DIGIT}+(?:[-\\/]{_DIGIT}+)*",  # dates
         r"\$",
         r"-+",
-        r"[^\s\x1c-\x1f]",
+        r"(?U:[^\s\x1c-\x1f])",
     )
 )
 

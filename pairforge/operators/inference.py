@@ -24,7 +24,9 @@ def infer(
 
     ``load`` returns the model, a function of one list per input column giving
     one value per row. It is called once per Python worker and kept for later
-    tasks. The model sees at most ``batch_size`` rows at a time.
+    tasks. The model sees at most ``batch_size`` rows at a time, cut from Arrow
+    batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows; lower that
+    setting for very long texts.
 
     Runs as ``mapInPandas``, so a filter on the output never runs the model
     twice. Catalyst does not move filters below it: apply cheap ones first.
@@ -42,11 +44,14 @@ def infer(
             models[token] = load()
         model = models[token]
         for frame in frames:
+            columns = [frame[name].tolist() for name in inputs]
+            values = []
             for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start : start + batch_size]
-                values = list(model(*[batch[name].tolist() for name in inputs]))
-                if len(values) != len(batch):
-                    raise ValueError(f"model gave {len(values)} values for {len(batch)} rows")
-                yield batch.assign(**{output: pd.Series(values, index=batch.index, dtype=object)})
+                batch = [column[start : start + batch_size] for column in columns]
+                given = list(model(*batch))
+                if len(given) != len(batch[0]):
+                    raise ValueError(f"model gave {len(given)} values for {len(batch[0])} rows")
+                values += given
+            yield frame.assign(**{output: pd.Series(values, index=frame.index, dtype=object)})
 
     return df.mapInPandas(run, schema)

@@ -17,7 +17,7 @@ def run(
     output_path: str,
     num_samples: int | None = 300_000,
     seed: int = SEED,
-    schema: T.StructType = SCORED_PAIRS,
+    schema: T.StructType | str = SCORED_PAIRS,
 ) -> None:
     """Writes one folder per split. Skipped when the output is there already."""
     pairs = with_pair_id(read_jsonl(spark, input_path, schema))

@@ -11,14 +11,14 @@ from pairforge.functions.text import strip
 from pairforge.operators.prune import require_labels
 from pairforge.operators.ranking import number_rows
 from pairforge.runtime import durable
-from pairforge.schema import PAIRS, PREDICTIONS, XML_PAIRS
+from pairforge.schema import PAIRS, XML_PAIRS
 
 # Tab-separated text as pandas writes it: quotes are doubled inside quotes.
-TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true", "enforceSchema": "false"}
 
 
 def read_jsonl(
-    spark: SparkSession, path: str | list[str], schema: T.StructType = PAIRS
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str = PAIRS
 ) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -26,15 +26,16 @@ def read_jsonl(
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
-    schema: T.StructType = PREDICTIONS,
+    schema: T.StructType | str | None = None,
     delimiter: str = "\t",
 ) -> DataFrame:
-    """Delimited text with a header.
+    """Delimited text with a header, every column a string named by it.
 
-    Quoted fields may span lines, so a file is one split: store large tables as
+    With a ``schema`` the header must agree with it. Quoted fields may span lines, so a file is one split: store large tables as
     many files.
     """
-    return spark.read.options(**{**TSV, "sep": delimiter}).schema(schema).csv(path)
+    reader = spark.read.options(**{**TSV, "sep": delimiter})
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def with_pair_id(df: DataFrame, name: str = "pair_id") -> DataFrame:

@@ -24,7 +24,7 @@ def file_format(name: str) -> str | None:
 def load_splits(
     spark: SparkSession,
     files: Mapping[str, str],
-    schema: T.StructType = PAIRS,
+    schema: T.StructType | str = PAIRS,
     delimiter: str | None = None,
 ) -> dict[str, DataFrame]:
     """One table per split. The format is taken from each file's own suffix."""
