@@ -1,10 +1,11 @@
 """From sentence clusters to pairs, safe for clusters of any size.
 
 A cluster can hold a large share of the table, so no operator hands a whole
-cluster to one task. Clusters above a share of the table are cut into buckets by
-a hash of the member's key. At most ``PARTS`` clusters can be above one
-``PARTS``-th of the rows, which bounds the table of hot clusters that is
-broadcast, and every other cluster is at most that share.
+cluster to one task. A task gets about ``HOT_ROWS`` rows of a cluster, or one
+``PARTS``-th of the table if that is more. Clusters above this limit are cut into
+as many buckets as it takes, by a hash of the member's key. Fewer than ``PARTS``
+clusters can be above one ``PARTS``-th of the rows, which bounds the table of hot
+clusters that is broadcast.
 """
 
 from __future__ import annotations
@@ -15,30 +16,32 @@ from pyspark.sql import functions as F
 from pairforge.operators.ranking import SEED, shuffle_hash
 
 PARTS = 65_536
-BUCKETS = 4_096
-HOT_ROWS = 1_000_000  # clusters up to this size are never cut
+HOT_ROWS = 100_000  # clusters up to this size are never cut
 PART_ROWS = 10_000  # members per array
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/``parts`` of all rows.
+    """Keys with more than ``hot_rows`` rows and more than 1/``parts`` of all rows,
+    and the number of ``buckets`` to cut each into.
 
     Fewer than ``parts`` rows come back, whatever the input is.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter((F.col("n") > hot_rows) & (F.col("n") > total / parts)).select(key)
+    limit = F.greatest(F.lit(hot_rows), df.agg(F.count(F.lit(1))).scalar() / parts)
+    return counts.filter(F.col("n") > limit).select(
+        key, F.ceil(F.col("n") / limit).cast("int").alias("buckets")
+    )
 
 
 def _bucketed(df: DataFrame, key: str, hash_: Column, hot_rows: int) -> DataFrame:
     """Adds ``_hash`` and ``_bucket``: 0 for ordinary clusters, 1.. for members of hot ones."""
-    hot = F.broadcast(hot_keys(df, key, hot_rows).withColumnRenamed(key, "_hot"))
-    number = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int") % BUCKETS
-    hashed = df.withColumn("_hash", hash_)
+    hot = hot_keys(df, key, hot_rows).select(F.col(key).alias("_hot"), F.col("buckets").alias("_n"))
+    number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % F.col("_n")
     return (
-        hashed.join(hot.withColumn("_is_hot", F.lit(True)), F.col(key).eqNullSafe(F.col("_hot")), "left")
-        .withColumn("_bucket", F.when(F.col("_is_hot"), number + 1).otherwise(0))
-        .drop("_hot", "_is_hot")
+        df.withColumn("_hash", hash_)
+        .join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+        .withColumn("_bucket", F.coalesce(number + 1, F.lit(0)))
+        .drop("_hot", "_n")
     )
 
 
@@ -115,7 +118,7 @@ def collect_clusters(
         )
         .select(
             cluster,
-            F.shiftleft(F.col("_bucket").cast("long"), 32).bitwiseOR(F.col("_part")).alias("part"),
+            F.shiftleft("_bucket", 32).bitwiseOR(F.col("_part")).alias("part"),
             F.size("members").alias("n"),
             "members",
         )

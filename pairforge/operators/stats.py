@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairforge.compute import compute_once
 from pairforge.functions.arrays import count_tokens
 
 
@@ -70,32 +71,38 @@ def score_histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     The index is computed by division and then checked against the edges, so a
     value on an edge goes to the bin it opens, and the maximum to the last bin.
     """
-    bounds = _bounds(df, column)
-    value = F.col(column).cast("double")
-    low, high = bounds["lo"].cast("double"), bounds["hi"].cast("double")
+    bounds = {"bounds": _bounds(df, column)}
+    low, high = F.col("bounds.lo").cast("double"), F.col("bounds.hi").cast("double")
     flat = low == high
-    lo, hi = F.when(flat, low - 0.5).otherwise(low), F.when(flat, high + 0.5).otherwise(high)
-    step = (hi - lo) / bins
+    limits = {
+        "lo": F.when(flat, low - 0.5).otherwise(low),
+        "hi": F.when(flat, high + 0.5).otherwise(high),
+        "rows": F.col("bounds.n"),
+    }
+    lo, hi = F.col("lo"), F.col("hi")
 
     def edge(i: Column) -> Column:
-        return F.when(i == bins, hi).otherwise(lo + i * step)
+        return F.when(i == bins, hi).otherwise(lo + i * ((hi - lo) / bins))
 
-    guess = F.least(F.floor((value - lo) * bins / (hi - lo)), F.lit(bins - 1))
-    shift = F.when(value < edge(F.col("guess")), -1).when(
-        (value >= edge(F.col("guess") + 1)) & (F.col("guess") < bins - 1), 1
+    value, guess = F.col("value"), F.col("guess")
+    shift = (
+        F.when(value < edge(guess), -1)
+        .when((value >= edge(guess + 1)) & (guess < bins - 1), 1)
+        .otherwise(0)
     )
+    values = df.select(F.col(column).cast("double").alias("value")).filter("value is not null")
     counts = (
-        df.filter(F.col(column).isNotNull())
-        .withColumn("guess", guess)
-        .select((F.col("guess") + F.coalesce(shift, F.lit(0))).alias("bin"))
+        compute_once(values, bounds)
+        .withColumns(limits)
+        .withColumn("guess", F.least(F.floor((value - lo) * bins / (hi - lo)), F.lit(bins - 1)))
+        .select((guess + shift).alias("bin"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    n = F.coalesce("n", F.lit(0))
-    bin_ = F.col("bin")
+    bin_, n = F.col("bin"), F.coalesce("n", F.lit(0))
     return (
-        df.sparkSession.range(bins)
-        .withColumnRenamed("id", "bin")
+        compute_once(df.sparkSession.range(bins).withColumnRenamed("id", "bin"), bounds)
+        .withColumns(limits)
         .join(counts, "bin", "left")
         .select(
             "bin",
@@ -103,7 +110,7 @@ def score_histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
             edge(bin_ + 1).alias("hi"),
             ((edge(bin_) + edge(bin_ + 1)) * 0.5).alias("centre"),
             n.alias("n"),
-            F.try_divide(n, bounds["n"]).alias("proportion"),
+            F.try_divide(n, F.col("rows")).alias("proportion"),
         )
     )
 

@@ -53,7 +53,7 @@ def test_seed_changes_the_pairs_not_their_number(skewed):
 def test_hot_keys_are_few_by_construction(skewed):
     assert [r[0] for r in clusters.hot_keys(skewed, "paraphrase_set_id", 50, 5).collect()] == ["hot"]
     both = clusters.hot_keys(skewed, "paraphrase_set_id", 50).collect()
-    assert {r[0] for r in both} == {"hot", "warm"}
+    assert {r[0]: r[1] for r in both} == {"hot": 15, "warm": 3}
 
 
 def test_hot_cluster_is_cut(skewed):
@@ -67,7 +67,7 @@ def test_hot_cluster_is_cut(skewed):
         want[row["paraphrase_set_id"]].append((row["sentence_id"], row["paraphrase"]))
     assert {k: sorted(v) for k, v in got.items()} == want
     parts = [r["part"] for r in held if r["paraphrase_set_id"] == "hot"]
-    assert len(parts) == len(set(parts)) > 200
+    assert len(parts) == len(set(parts)) >= 234
 
 
 def test_small_clusters_stay_whole(skewed):
