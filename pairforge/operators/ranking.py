@@ -87,12 +87,19 @@ def _scalar(cuts: DataFrame) -> Column:
     return cuts.select(F.struct(*cuts.columns)).scalar()
 
 
+def in_sample(keys: DataFrame, n: int, key: str, seed: int = SEED) -> Column:
+    """Whether a row's key is one of the n that a sample of ``keys`` takes.
+
+    A condition for any table with this key, so both sides of a join can be
+    thinned out before they are shuffled.
+    """
+    cuts = rank_cuts(keys, key, {"last": lambda total: F.least(F.lit(n), total)}, seed)
+    return shuffle_order(key, seed) <= _scalar(cuts)["last"]
+
+
 def sample_n(df: DataFrame, n: int | None, key: str = "pair_id", seed: int = SEED) -> DataFrame:
     """Exactly n rows without replacement (all rows if there are fewer); falsy n keeps all."""
-    if not n:
-        return df
-    cuts = rank_cuts(df, key, {"last": lambda total: F.least(F.lit(n), total)}, seed)
-    return df.filter(shuffle_order(key, seed) <= _scalar(cuts)["last"])
+    return df.filter(in_sample(df, n, key, seed)) if n else df
 
 
 def sample_fraction(

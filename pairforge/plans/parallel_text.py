@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairforge.operators.align import drop_last, zip_lines
 from pairforge.operators.inference import infer
 from pairforge.operators.prune import min_words
-from pairforge.operators.ranking import SEED, sample_n
+from pairforge.operators.ranking import SEED, in_sample
 from pairforge.sources.readers import read_stripped_lines
 from pairforge.sources.writers import write_jsonl
 
@@ -26,9 +26,15 @@ def select_pairs(
 
     The last line of each side is noise. Sampling comes first, so trimming may
     leave fewer than ``num_examples`` rows. Words are counted on the native side.
+    Line numbers run from 0 without gaps, so the lines both sides have are known
+    without a join, and each side is thinned out before the only one there is.
     """
-    pairs = zip_lines(drop_last(foreign), drop_last(native))
-    return min_words(sample_n(pairs, num_examples, "line_no", seed), "target", trim_word_count)
+    foreign, native = drop_last(foreign), drop_last(native)
+    if num_examples:
+        end = native.agg(F.max("line_no")).scalar()
+        chosen = in_sample(foreign.filter(F.col("line_no") <= end), num_examples, "line_no", seed)
+        foreign, native = foreign.filter(chosen), native.filter(chosen)
+    return min_words(zip_lines(foreign, native), "target", trim_word_count)
 
 
 def translate(

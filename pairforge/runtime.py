@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # Rows a broadcast table may hold when its bound is checked at run time.
 BROADCAST_ROWS = 1_000_000
 
+# Folders made for local sessions that name none, by application.
+_OWN_DIRS: dict[str, str] = {}
+
 # Settings the plans are written for. Sizes are left to adaptive execution.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,9 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="pairforge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        _OWN_DIRS[application] = tempfile.mkdtemp(prefix="pairforge-")
+    return _OWN_DIRS[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -223,5 +223,29 @@ def test_filter_edges(spark):
     assert [r["target"] for r in prune.drop_identical(same).collect()] == ["A"]
 
 
+@pytest.mark.parametrize("sizes", [(40, 25), (25, 40), (30, 30)])
+def test_sampled_alignment_is_exact(spark, sizes):
+    def lines(n, mark):
+        return spark.createDataFrame([(i, f"{mark}{i}") for i in range(n)], "line_no long, text string")
+
+    for asked in (5, 24, 100):
+        got = parallel_text.select_pairs(lines(sizes[0], "f"), lines(sizes[1], "n"), asked).collect()
+        assert len(got) == min(asked, min(sizes) - 1)
+        assert all(r["source"] == f"f{r['line_no']}" and r["target"] == f"n{r['line_no']}" for r in got)
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class Unset:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext = {}, type("Context", (), {"master": master, "applicationId": "x"})
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Unset("yarn"))
+    assert shared_dir(Unset("local[2]")) == shared_dir(Unset("local[2]"))
