@@ -30,7 +30,8 @@ WORD_PATTERN = "(?d)" + "|".join(
     )
 )
 
-# The public 13a rules, as (pattern, replacement) in order.
+# The public 13a rules, as (pattern, replacement) in order. The class
+# of the first rule is published with the space in it, which only adds more spaces.
 _BLEU_LITERALS = (
     ("<skipped>", ""),
     ("-\n", ""),
@@ -41,7 +42,7 @@ _BLEU_LITERALS = (
     ("&gt;", ">"),
 )
 _BLEU_RULES = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),

@@ -37,13 +37,16 @@ def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def rename_roles(
-    df: DataFrame, premise: str = "premise", hypothesis: str = "hypothesis"
+    df: DataFrame,
+    premise: str = "premise",
+    hypothesis: str = "hypothesis",
+    keep: Iterable[str] = (),
 ) -> DataFrame:
-    """Premise and hypothesis become source and target and the rest is dropped,
-    unless the roles are already there."""
+    """Premise and hypothesis become source and target and the rest is dropped but
+    for ``keep``, unless the roles are already there."""
     if {"source", "target"} <= set(df.columns):
         return df
-    return df.select(F.col(premise).alias("source"), F.col(hypothesis).alias("target"))
+    return df.select(*keep, F.col(premise).alias("source"), F.col(hypothesis).alias("target"))
 
 
 def roles_first(df: DataFrame, roles=("source", "target")) -> DataFrame:

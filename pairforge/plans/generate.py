@@ -92,7 +92,5 @@ def sts_batches(
     df: DataFrame, size: int = 64, key: str = "pair_id", seed: int = SEED
 ) -> DataFrame:
     """Shuffled training batches of source and target, from either naming of the roles."""
-    keyed = rename_roles(df) if key not in df.columns else df
-    if "source" not in keyed.columns:
-        keyed = keyed.selectExpr(key, "premise AS source", "hypothesis AS target")
-    return shuffle_batches(keyed.select(key, "source", "target"), size, key, seed)
+    named = rename_roles(df, keep=(key,)).select(key, "source", "target")
+    return shuffle_batches(named, size, key, seed)

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from pairforge.operators.ranking import SEED, split_80_10_10
 from pairforge.schema import SCORED_PAIRS
-from pairforge.sources.readers import read_jsonl, with_pair_id
+from pairforge.sources.readers import read_jsonl, with_row_number
 from pairforge.sources.writers import write_splits
 
 
@@ -20,7 +20,7 @@ def run(
     schema: T.StructType | str = SCORED_PAIRS,
 ) -> None:
     """Writes one folder per split. Skipped when the output is there already."""
-    pairs = with_pair_id(read_jsonl(spark, input_path, schema))
+    pairs = with_row_number(read_jsonl(spark, input_path, schema))
     write_splits(
         split_80_10_10(pairs, num_samples, seed=seed).drop("pair_id"),
         output_path,

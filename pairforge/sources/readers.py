@@ -38,29 +38,25 @@ def read_delimited(
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def with_pair_id(df: DataFrame, name: str = "pair_id") -> DataFrame:
-    """Give every row a unique id. Unique and increasing within a split, not consecutive.
-
-    Frozen by a write, because a re-read could number rows differently.
-    """
-    rows = df.withColumn(name, F.monotonically_increasing_id())
-    return durable(rows.select(name, *df.columns), "pairs")
-
-
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line_no, text) with consecutive numbers from 0 over files in path order.
+def with_row_number(df: DataFrame, name: str = "pair_id") -> DataFrame:
+    """Number the rows of a table just read from files: 0, 1, ... in path and file order.
 
     Each split is numbered where it is read, frozen by a write, and shifted by
-    the lines in the splits before it. Lines end at LF, CR or CRLF.
+    the rows in the splits before it.
     """
-    rows = spark.read.text(path).select(
-        F.col("value").alias("text"),
+    rows = df.select(
+        *df.columns,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    numbered = number_rows(durable(rows, "lines"), ["_file", "_start"], "_seq", "line_no")
-    return numbered.select("line_no", "text")
+    numbered = number_rows(durable(rows, "rows"), ["_file", "_start"], "_seq", name)
+    return numbered.select(name, *df.columns)
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line_no, text) over files in path order. Lines end at LF, CR or CRLF."""
+    return with_row_number(spark.read.text(path), "line_no").withColumnRenamed("value", "text")
 
 
 def read_stripped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

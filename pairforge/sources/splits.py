@@ -12,7 +12,7 @@ from pairforge.operators.columns import map_columns
 from pairforge.operators.prune import filter_rows
 from pairforge.operators.ranking import first_n
 from pairforge.schema import PAIRS
-from pairforge.sources.readers import read_delimited, read_jsonl
+from pairforge.sources.readers import read_delimited, read_jsonl, with_row_number
 
 
 def file_format(name: str) -> str | None:
@@ -50,11 +50,17 @@ def prepare(
     mapping: str | None = None,
     key: str = "pair_id",
 ) -> dict[str, DataFrame]:
-    """Clean, cut to the first rows per split, filter, map; in that order."""
+    """Clean, cut to the first rows per split, filter, map; in that order.
+
+    The first rows are those with the smallest keys. Tables straight from files
+    need no key: they get row numbers in file order when a split is to be cut.
+    """
     prepared = {}
     for name, df in splits.items():
         # Cutting first reads the same rows: cleaning does not touch the key.
-        df = first_n(df, (max_rows or {}).get(name), key)
+        limit = (max_rows or {}).get(name)
+        if limit is not None:
+            df = first_n(df if key in df.columns else with_row_number(df, key), limit, key)
         df = clean_pairs_b(df, remove_bad_chars=remove_bad_chars)
         df = filter_rows(df, predicate)
         prepared[name] = map_columns(df, mapping) if mapping else df

@@ -42,10 +42,6 @@ def test_filter_on_output_runs_the_model_once(pairs):
     assert optimized(scored.filter("y > 3 and y < 90")).count("MapInPandas") == 1
 
 
-def embed():
-    return lambda texts: [[float(t.count(c)) for c in "abcdfsim"] for t in texts]
-
-
 def test_cheap_filters_run_below_the_model(spark, pairs):
     def load():
         return lambda texts: [[float(t.count(c)) for c in "abcdfsim"] for t in texts]

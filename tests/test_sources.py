@@ -167,6 +167,22 @@ def test_prepare_cuts_before_it_filters(spark):
     assert [(r["pair_id"], r["n"]) for r in ready.orderBy("pair_id").collect()] == [(2, 4), (3, 4)]
 
 
+def test_prepare_takes_the_first_rows_of_the_file(spark, tmp_path):
+    for part in ("b", "a"):
+        n = 400 if part == "a" else 900
+        rows = [{"source": f"{part} {i}", "target": "x"} for i in range(n)]
+        (tmp_path / f"{part}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        loaded = readers.read_jsonl(spark, str(tmp_path))
+        ready = splits.prepare({"train": loaded, "test": loaded}, max_rows={"train": 402})
+        got = [r["source"] for r in ready["train"].orderBy("pair_id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"a {i}" for i in range(400)] + ["b 0", "b 1"]
+    assert "pair_id" not in ready["test"].columns and ready["test"].count() == 1300
+
+
 def test_make_splits_run(spark, tmp_path):
     path, out = tmp_path / "full.jsonl", str(tmp_path / "splits")
     path.write_text("".join(json.dumps({"source": f"s{i}", "target": f"t{i}", "src_len": 1, "tgt_len": 1, "sem_sim": 0.9}) + "\n" for i in range(50)))
