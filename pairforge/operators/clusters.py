@@ -35,7 +35,9 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, parts: int = PAR
 
 def _bucketed(df: DataFrame, key: str, hash_: Column, hot_rows: int) -> DataFrame:
     """Adds ``_hash`` and ``_bucket``: 0 for ordinary clusters, 1.. for members of hot ones."""
-    hot = hot_keys(df, key, hot_rows).select(F.col(key).alias("_hot"), F.col("buckets").alias("_n"))
+    hot = hot_keys(df, key, hot_rows).select(
+        F.col(key).alias("_hot"), F.col("buckets").alias("_n")
+    )
     number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") % F.col("_n")
     return (
         df.withColumn("_hash", hash_)

@@ -1,4 +1,4 @@
-"""Readers. Every one has an explicit schema and gives a DataFrame."""
+"""Readers. Nothing is inferred from the data, and each gives a DataFrame."""
 
 from __future__ import annotations
 
@@ -14,7 +14,14 @@ from pairforge.runtime import durable
 from pairforge.schema import PAIRS, XML_PAIRS
 
 # Tab-separated text as pandas writes it: quotes are doubled inside quotes.
-TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true", "enforceSchema": "false"}
+TSV = {
+    "sep": "\t",
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "multiLine": "true",
+    "enforceSchema": "false",
+}
 
 
 def read_jsonl(
@@ -31,8 +38,8 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header, every column a string named by it.
 
-    With a ``schema`` the header must agree with it. Quoted fields may span lines, so a file is one split: store large tables as
-    many files.
+    With a ``schema`` the header must agree with it. Quoted fields may span lines,
+    so a file is one split: store large tables as many files.
     """
     reader = spark.read.options(**{**TSV, "sep": delimiter})
     return (reader.schema(schema) if schema else reader).csv(path)
