@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import toxicity
+from pairforge.llm import decontaminate, toxicity
 from pairforge.llm.common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,57 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(docs, lexicon).select(
         "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted", "n_hits"
     )
+
+
+@query
+def op8_decontaminate(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(listed, 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+_BENCHMARK_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+CONTAMINATION = """
+contamination AS (
+    WITH d AS (SELECT doc_id, {words} AS w FROM {documents}),
+    b AS (SELECT item_id, {words} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + 12], ' ') AS phrase
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+    ),
+    places AS (
+        SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS phrase
+        FROM (
+            SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+            FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+        )
+    ),
+    found AS (SELECT doc_id, i, p.size, item_id FROM places p JOIN windows v ON p.size = v.size AND p.phrase = v.phrase),
+    hit AS (
+        SELECT doc_id, count(*) AS n_hit
+        FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM found) GROUP BY doc_id
+    ),
+    item AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS listed
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM found) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+)
+"""
+
+ORACLE["op8_decontaminate"] = (
+    "WITH " + CONTAMINATION.format(words=_BENCHMARK_WORDS, documents="documents") + "SELECT * FROM contamination"
+)
