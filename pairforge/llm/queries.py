@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import decontaminate, toxicity
+from pairforge.llm import decontaminate, pii, toxicity
 from pairforge.llm.common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,9 @@ contamination AS (
 ORACLE["op8_decontaminate"] = (
     "WITH " + CONTAMINATION.format(words=_BENCHMARK_WORDS, documents="documents") + "SELECT * FROM contamination"
 )
+
+
+@query
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs).drop("text")
