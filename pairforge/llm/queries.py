@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import decontaminate, pii, toxicity
+from pairforge.llm import decontaminate, packing, pii, toxicity
 from pairforge.llm.common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,16 @@ ORACLE["op8_decontaminate"] = (
 def op9_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.detect(docs).drop("text")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces with a digest in place of their ids."""
+    import public_tokenizers
+
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op7_packing(spark, sf_dir):
+    return packed_pieces(table(spark, sf_dir, "documents"))
