@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import decontaminate, packing, pii, toxicity
+from pairforge.llm import decontaminate, minhash, packing, pii, toxicity
 from pairforge.llm.common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,8 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
 @query
 def op7_packing(spark, sf_dir):
     return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_minhash(spark, sf_dir):
+    return minhash.near_copies(table(spark, sf_dir, "documents")).drop("row")
