@@ -464,20 +464,28 @@ def detect(docs: DataFrame, crf: Crf | None = None, text: str = "text") -> DataF
     return docs.mapInArrow(run, added(docs, FOUND))
 
 
-def redacted(docs: DataFrame, crf: Crf | None = None, text: str = "text") -> DataFrame:
-    """The same rows with every span in ``text`` replaced; texts without one stay as they are."""
+def redacted(
+    docs: DataFrame, crf: Crf | None = None, text: str = "text", size: str = "n_chars"
+) -> DataFrame:
+    """The same rows with every span in ``text`` replaced, and ``size``, where there is
+    such a column, counted anew. Rows without a span stay as they are."""
     crf = crf or train(training_table())
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches):
         for batch in slices(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = spans_of(texts, shared.value)
-            new = [redact(t, every) if every else t for t, (_, every) in zip(texts, found, strict=True)]
-            arrays = [
-                pa.array(new, pa.string()) if name == text else batch.column(i)
-                for i, name in enumerate(batch.schema.names)
+            names = batch.schema.names
+            texts = batch.column(names.index(text)).to_pylist()
+            new = [
+                redact(t, every) if every else t
+                for t, (_, every) in zip(texts, spans_of(texts, shared.value), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+            arrays = dict(zip(names, batch.columns, strict=True))
+            if size in arrays:
+                old = arrays[size].to_pylist()
+                counted = [s if n is t else len(n) for s, n, t in zip(old, new, texts, strict=True)]
+                arrays[size] = pa.array(counted, arrays[size].type)
+            arrays[text] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -229,8 +229,14 @@ def fit(
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Adds ``score``, ``predicted`` and ``n_hits``, which replace columns of those names."""
+def score(
+    docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_below: float | None = None
+) -> DataFrame:
+    """Adds ``score``, ``predicted`` and ``n_hits``, which replace columns of those names.
+
+    With ``keep_below`` the columns stay as they are, and rows scored that high or
+    higher are left out.
+    """
     ddl = "score double, predicted int, n_hits long"
 
     def run(batches):
@@ -248,6 +254,9 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
                         b[i] = np.log1p(1000.0 * total / max(20, len(value.split())))
                         found[i] = len(hits)
             p = sigmoid(wa * a + wb * b + bias)
+            if keep_below is not None:
+                yield batch.filter(pa.array(p < keep_below))
+                continue
             yield with_columns(
                 batch,
                 {
@@ -257,7 +266,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
                 },
             )
 
-    return docs.mapInArrow(run, added(docs, ddl))
+    return docs.mapInArrow(run, docs.schema if keep_below is not None else added(docs, ddl))
 
 
 def learned_from(labels: DataFrame) -> DataFrame:
