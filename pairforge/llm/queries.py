@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import decontaminate, minhash, packing, pii, substrings, toxicity
+from pairforge.llm import cap_filters, decontaminate, minhash, packing, pii, substrings, toxicity
 from pairforge.llm.common import is_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op3_minhash(spark, sf_dir):
 @query
 def op1_substrings(spark, sf_dir):
     return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query
+def op2_embeddings(spark, sf_dir):
+    return cap_filters.near_copies(table(spark, sf_dir, "embeddings"))
