@@ -86,3 +86,27 @@ def spanning(links: np.ndarray) -> list[tuple[int, int]]:
         a, b = a[differ], b[differ]
     forest.join(zip(a.tolist(), b.tolist(), strict=True))
     return forest.edges
+
+
+class Joined:
+    """Union-find over any numbers; ``take`` gives and forgets the unions that joined something."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(i, i)) != i:
+            parent[i] = i = parent[up]
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+    def take(self) -> list[tuple[int, int]]:
+        out, self.edges = self.edges, []
+        return out

@@ -8,8 +8,9 @@
 2. Bands of four registers (empty ones borrow by a fixed rule) give 32 keys a class.
    Classes that share a key are compared by their sketches: the share of equal
    registers, less the equalities expected by chance, estimates the similarity. The
-   estimate keeps all pairs within five standard errors of the threshold. Only a
-   spanning forest of them leaves the task, and its components are candidate groups.
+   estimate keeps all pairs within five standard errors of the threshold. Keys with
+   very many classes are kept whole. Only a spanning forest of what is kept leaves
+   the task, and its components are candidate groups.
 3. Candidate groups fetch their texts. Full sets are compared inside blocks of a
    group; a large group is many pairs of blocks, and blocks whose sizes rule a link
    out never meet. Again only a spanning forest leaves the task.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.common import slices, utf8
-from pairforge.llm.components import connected_components, spanning
+from pairforge.llm.components import Joined, connected_components, spanning
 from pairforge.runtime import durable
 
 SHINGLE = 5
@@ -117,18 +118,14 @@ def band_keys(registers: np.ndarray, band: int = BAND) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity of all rows of ``a`` to all of ``b``, and the registers it rests on.
+    """Similarity of each row of ``a`` to that row of ``b``, and the registers it rests on.
 
-    Registers of different least hashes are equal by chance with probability of
+    Registers of different least hashes are equal by chance with a probability of
     about 1/3 * 2**-MANTISSA; that share is taken off.
     """
-    equal = np.zeros((len(a), len(b)), np.int16)
-    used = np.zeros((len(a), len(b)), np.int16)
-    for r in range(a.shape[1]):
-        x, y = a[:, r, None], b[None, :, r]
-        filled = (x != EMPTY) | (y != EMPTY)
-        used += filled
-        equal += (x == y) & filled
+    filled = (a != EMPTY) | (b != EMPTY)
+    used = filled.sum(axis=1)
+    equal = ((a == b) & filled).sum(axis=1)
     chance = 2.0**-MANTISSA / 3
     share = equal / np.maximum(used, 1)
     return (share - chance) / (1 - chance), used
@@ -176,22 +173,25 @@ def features(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return durable(rows.mapInArrow(run, FEATURES), "sketches")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows of equal key together, from batches sorted by it."""
-    held: list[pa.Table] = []
+def _whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The same rows, sorted by ``key``, cut so that rows of equal key stay together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.asarray(batch.column(batch.schema.get_field_index(key)))
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
-        for start, stop in zip(edges, edges[1:], strict=False):
-            part = pa.Table.from_batches([batch.slice(start, stop - start)])
-            if held and held[0][key][0].as_py() != keys[start]:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(part)
+        if held and np.asarray(held[-1].column(batch.schema.get_field_index(key)))[-1] != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        turn = np.flatnonzero(keys[1:] != keys[:-1])
+        if not len(turn):
+            held.append(batch)
+            continue
+        cut = int(turn[-1]) + 1
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
     if held:
-        yield pa.concat_tables(held)
+        yield pa.Table.from_batches(held)
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -200,20 +200,33 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     )
 
 
-def _meetings(counts: DataFrame, key: str, block: int) -> DataFrame:
-    """Number of ``blocks`` for every key with more than one row."""
-    return counts.filter("n > 1").select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-
-
-def _block_pairs(blocks: str, member: str) -> Column:
-    """The pairs of blocks that a member of ``blocks`` blocks takes part in."""
-    own = F.pmod(F.xxhash64(member), F.col(blocks)).cast("int")
-    other = F.sequence(F.lit(0), F.col(blocks) - 1)
-    return F.transform(other, lambda o: F.least(own, o) * F.col(blocks) + F.greatest(own, o))
+def _alike_pairs(sketches: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one run that may be similar. Rows stand run by run, of the given sizes."""
+    starts = np.cumsum(sizes) - sizes
+    left, right = [], []
+    for n in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = starts[sizes == n][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    good = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = sketches[a[at : at + (1 << 14)]], sketches[b[at : at + (1 << 14)]]
+        alike, used = estimate(x, y)
+        error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+        good[at : at + (1 << 14)] = alike >= threshold - ERRORS * error
+    return a[good], b[good]
 
 
 def candidate_edges(classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all classes which may be similar and share a band."""
+    """Edges (a, b) that connect all classes which may be similar and share a band.
+
+    Bands of more than ``block`` classes are not compared by sketches: they are near
+    copies for the most part, and all go on to the comparison of full sets.
+    """
 
     def keys(batches):
         for batch in batches:
@@ -227,34 +240,33 @@ def candidate_edges(classes: DataFrame, threshold: float, block: int = BLOCK) ->
 
     rows = classes.filter("n_shingles > 0")
     banded = durable(rows.select("node", "registers").mapInArrow(keys, "key long, node long"), "bands")
-    shared = _meetings(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", block)
+    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
     # Joined by a key of their own, so that adaptive execution may split hot bands.
-    meeting = (
+    meeting = durable(
         banded.withColumn("_k", F.bitwise_not("key"))
-        .join(shared.select(F.bitwise_not("key").alias("_k"), "blocks"), "_k")
-        .select("key", "node", F.explode(_block_pairs("blocks", "node")).alias("pair"))
+        .join(counts.filter("n > 1").select(F.bitwise_not("key").alias("_k"), "n", "least"), "_k")
+        .select("key", "node", "n", "least"),
+        "bands",
     )
-    placed = meeting.select("node", F.xxhash64("key", "pair").alias("place"))
-    carried = placed.join(rows.select("node", "registers"), "node")
+    carried = meeting.filter(F.col("n") <= block).select("key", "node").join(rows.select("node", "registers"), "node")
 
     def compare(batches):
-        found: set[tuple[int, int]] = set()
-        for table in _runs(batches, "place"):
-            n = table.num_rows
-            if n < 2:
-                continue
-            nodes = table["node"].to_pylist()
-            sketches = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(n, -1)
-            alike, used = estimate(sketches, sketches)
-            error = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
-            found.update((nodes[i], nodes[j]) for i, j in spanning(alike >= threshold - ERRORS * error))
-            if len(found) > 100_000:
-                yield _edges(list(found))
-                found = set()
-        yield _edges(list(found))
-
-    dealt = carried.repartition("place").sortWithinPartitions("place")
-    return dealt.mapInArrow(compare, "a long, b long")
+        joined = Joined()
+        for table in _whole_runs(batches, "key"):
+            place = np.asarray(table["key"])
+            nodes = np.asarray(table["node"])
+            sketches = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(nodes), -1)
+            edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+            a, b = _alike_pairs(sketches, np.diff(edges), threshold)
+            for x, y in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True):
+                joined.join(x, y)
+            yield _edges(joined.take())
+
+    dealt = carried.repartition("key").sortWithinPartitions("key")
+    hot = meeting.filter((F.col("n") > block) & (F.col("node") > F.col("least")))
+    return dealt.mapInArrow(compare, "a long, b long").unionByName(
+        hot.select(F.col("node").alias("a"), F.col("least").alias("b"))
+    )
 
 
 def _set_bytes(texts: DataFrame, k: int) -> DataFrame:
@@ -356,13 +368,20 @@ def verified_edges(
     sets = _set_bytes(found, k).select("node", F.explode("places").alias("place"), "text")
 
     def compare(batches):
-        for table in _runs(batches, "place"):
-            by_node = dict(zip(table["node"].to_pylist(), table["text"].to_pylist(), strict=True))
-            if len(by_node) < 2:
-                continue
-            nodes = list(by_node)
-            linked = _linked([np.frombuffer(by_node[n], np.uint64) for n in nodes], part, whole)
-            yield _edges([(nodes[i], nodes[j]) for i, j in spanning(linked)])
+        joined = Joined()
+        for table in _whole_runs(batches, "place"):
+            place, nodes = np.asarray(table["place"]), table["node"].to_pylist()
+            texts = table["text"]
+            edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]).tolist()
+            for start, stop in zip(edges, edges[1:], strict=False):
+                # Repeated ids can bring the same class twice.
+                found = {nodes[i]: texts[i].as_py() for i in range(start, stop)}
+                if len(found) > 1:
+                    names = list(found)
+                    linked = _linked([np.frombuffer(s, np.uint64) for s in found.values()], part, whole)
+                    for i, j in spanning(linked):
+                        joined.join(names[i], names[j])
+            yield _edges(joined.take())
 
     return sets.repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a long, b long")
 
