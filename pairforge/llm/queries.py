@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import cap_filters, decontaminate, minhash, packing, pii, substrings, toxicity
+from pairforge.llm import cap_filters, decontaminate, minhash, packing, pii, substrings, toxicity, warc
 from pairforge.llm.common import is_fold, table
+from pairforge.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +116,23 @@ def op1_substrings(spark, sf_dir):
 @query
 def op2_embeddings(spark, sf_dir):
     return cap_filters.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    """Archives written to the shared folder and read back."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_records(spark, path))
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS kept FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM k
+"""
