@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import cap_filters, decontaminate, minhash, packing, pii, substrings, toxicity, warc
+from pairforge.llm import (
+    cap_filters,
+    decontaminate,
+    language,
+    minhash,
+    packing,
+    pii,
+    quality,
+    substrings,
+    toxicity,
+    warc,
+)
 from pairforge.llm.common import is_fold, table
 from pairforge.runtime import fresh_path
 
@@ -136,3 +147,21 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
     CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM k
 """
+
+
+@query
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~is_fold("doc_id", 5, 0)))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", is_fold("doc_id", 5, 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~is_fold("doc_id", 4, 2))
+    return quality.score(docs, quality.fit(docs, labels)).select(
+        "doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted"
+    )

@@ -126,7 +126,7 @@ def chunk_table(plan: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
                 row = {n: batch.column(at[n])[i].as_py() for n in ("page_id", "url", "digest", "size", "record", "type", "refers")}
                 view = payloads[i].as_buffer()
                 payload, sha, total = memoryview(view) if view.size else memoryview(b""), hashlib.sha1(), row["size"]
-                spans = [(0, 0)] if row["type"] == "revisit" else chunk_spans(bytes(payload), size)
+                spans = [(0, 0)] if row["type"] == "revisit" else chunk_spans(view.to_pybytes() if view.size else b"", size)
                 for number, (start, end) in enumerate(spans, 1):
                     part = payload[start:end]
                     sha.update(part)
