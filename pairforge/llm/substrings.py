@@ -1,9 +1,11 @@
 """Passages that occur more than once: all but the earliest occurrence go.
 
-A text is cut into units: lines, and inside them sentences (after ``.!?`` or before
-a capitalised word, so that a passage pasted into a sentence starts a unit); long
-sentences are cut further after words picked by their hash. Units are normalised by case and white space. Each unit opens a window, the units from it
-on until they hold ``WINDOW_WORDS`` words, and windows are grouped by a 128-bit
+A text is cut into units: lines, and inside them groups of sentences. A sentence
+begins after ``.!?`` or at a capitalised word, so that a passage pasted into another
+sentence begins one, and opens a unit if a hash picks its first word; long units are
+cut further before words picked alike. Such cuts depend on the words beside them
+only, so parts that two texts share are cut alike. Units are normalised by case and white space. Each unit opens a window, the units from it
+on until they hold ``WINDOW_WORDS`` words, and windows are grouped by a 96-bit
 digest over all texts. Of equal windows the earliest by (doc_id, row, place) is kept.
 The others are laid together into spans of the original text, and spans of fewer
 than ``LEAST_WORDS`` words stay.
@@ -32,8 +34,9 @@ from pairforge.runtime import durable
 
 WINDOW_WORDS = 8
 LEAST_WORDS = 25
-LONG_UNIT = 20  # longer sentences are cut further
-PIECE_WORDS = 6  # one word in so many ends a piece of a long sentence
+OPENING_WORDS = 2  # one first word in so many lets a sentence open a unit
+LONG_UNIT = 25  # longer units are cut further
+PIECE_WORDS = 9  # one word in so many opens a piece of a long unit
 
 # The look-behinds let a run of white space be tried at its first character only.
 _WORD = re.compile(r"\S+")
@@ -42,7 +45,7 @@ _CUT = re.compile(r"\n|(?<=[.!?])\s++|(?<!\s)\s++(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-
 WINDOWS = T.StructType(
     [
         T.StructField("high", T.LongType()),
-        T.StructField("low", T.LongType()),
+        T.StructField("low", T.IntegerType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("row", T.LongType()),
         T.StructField("start", T.IntegerType()),
@@ -53,36 +56,51 @@ WINDOWS = T.StructType(
 )
 
 
-def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Cut a long unit after words that a hash picks, so that shared parts are cut alike."""
-    first = None
-    for m in _WORD.finditer(text, start, end):
-        first = m.start() if first is None else first
-        if zlib.crc32(m[0].lower().encode()) % PIECE_WORDS == 0:
-            yield first, m.end()
-            first = None
-    if first is not None:
-        yield first, end
+def _opens(word: str, one_in: int) -> bool:
+    return zlib.crc32(word.lower().encode()) % one_in == 0
+
+
+def _cuts(text: str) -> list[int]:
+    """Places where a unit may begin: lines, and sentences whose first word a hash picks."""
+    places = [0]
+    for m in _CUT.finditer(text):
+        if m[0] == "\n":
+            places.append(m.end())
+        else:
+            word = _WORD.match(text, m.end())
+            if word is None or _opens(word[0], OPENING_WORDS):
+                places.append(m.end())
+    return places
 
 
 def units(text: str) -> Iterator[tuple[int, int, str, int]]:
-    """(start, end, normalised text, words) of every unit that holds a word."""
-    at = 0
-    for end, following in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
-        words = text[at:end].split()
-        if words:
-            start = at
+    """(start, end, normalised text, words) of every unit that holds a word.
+
+    Long units are cut further before words that a hash picks, so that parts two
+    texts share are cut alike wherever they stand.
+    """
+    places = _cuts(text)
+    for at, following in zip(places, [*places[1:], len(text)], strict=True):
+        words = text[at:following].split()
+        if not words:
+            continue
+        if len(words) <= LONG_UNIT:
+            start, end = at, following
             while text[start].isspace():
                 start += 1
             while text[end - 1].isspace():
                 end -= 1
-            if len(words) <= LONG_UNIT:
-                yield start, end, " ".join(words).lower(), len(words)
-            else:
-                for a, b in _pieces(text, start, end):
-                    words = text[a:b].split()
-                    yield a, b, " ".join(words).lower(), len(words)
-        at = following
+            yield start, end, " ".join(words).lower(), len(words)
+            continue
+        held: list[str] = []
+        for m in _WORD.finditer(text, at, following):
+            if not held or _opens(m[0], PIECE_WORDS):
+                if held:
+                    yield first, last, " ".join(held).lower(), len(held)
+                first, held = m.start(), []
+            held.append(m[0])
+            last = m.end()
+        yield first, last, " ".join(held).lower(), len(held)
 
 
 def windows(text: str, least: int = WINDOW_WORDS) -> Iterator[tuple[str, int, int, int, int]]:
@@ -102,8 +120,6 @@ def windows(text: str, least: int = WINDOW_WORDS) -> Iterator[tuple[str, int, in
 
 def window_table(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
     """All windows of ``docs`` (doc_id, text), written so that ``row`` stays as it is."""
-    seeds = (1 << 64) - 1
-
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
@@ -113,7 +129,7 @@ def window_table(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
                 for unit, start, end, first, n in windows(text, least) if text else ():
                     digest = xxhash.xxh3_128_intdigest(unit)
                     high.append(digest >> 64)
-                    low.append(digest & seeds)
+                    low.append(digest & 0xFFFFFFFF)
                     ids.append(doc_id)
                     rows.append(row)
                     starts.append(start)
@@ -122,7 +138,11 @@ def window_table(docs: DataFrame, least: int = WINDOW_WORDS) -> DataFrame:
                     counts.append(n)
                 row += 1
             arrays = [
-                pa.array(c, pa.uint64()).view(pa.int64()) if i < 2 else pa.array(c, pa.int64() if i < 4 else pa.int32())
+                pa.array(c, pa.uint64()).view(pa.int64())
+                if i == 0
+                else pa.array(c, pa.uint32()).view(pa.int32())
+                if i == 1
+                else pa.array(c, pa.int64() if i < 4 else pa.int32())
                 for i, c in enumerate(columns)
             ]
             yield pa.RecordBatch.from_arrays(arrays, WINDOWS.names)
@@ -145,14 +165,22 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, window_words
     ``kept_doc_id`` and ``kept_start`` say where the first window of the span is kept.
     """
     table = window_table(docs, window_words)
-    kept = (
+    # Only digests met twice are looked up, so the wide rows of the others go no further.
+    twice = (
         table.groupBy("high", "low")
-        .agg(F.min(_rank()).alias("kept"), F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
+        .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"))
+    )
+    keyed = table.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")})
+    copies = durable(keyed.join(twice, ["_high", "_low"]).drop("_high", "_low"), "windows")
+    kept = (
+        copies.groupBy("high", "low")
+        .agg(F.min(_rank()).alias("kept"))
         .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"), "kept")
     )
     later = (
-        table.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")})
+        copies.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")})
         .join(kept, ["_high", "_low"])
         .filter(~((F.col("row") == F.col("kept.row")) & (F.col("start") == F.col("kept.start"))))
         # A window that overlaps the one kept in its own text leaves that one whole.
@@ -164,7 +192,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, window_words
     )
     by_row = Window.partitionBy("row").orderBy("from", "end")
     reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    # White space and cut marks lie between neighbouring units.
+    # One white-space character or two lie between neighbouring units.
     opened = later.withColumn("_new", F.coalesce((F.col("from") > reach + 2).cast("int"), F.lit(1)))
     spans = opened.withColumn("_span", F.sum("_new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
     return (
