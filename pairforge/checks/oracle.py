@@ -308,6 +308,15 @@ SELECT vec_id, count(*) AS uses FROM ids WHERE vec_id NOT IN (SELECT vec_id FROM
         "x.doc_id AS source_id, y.doc_id AS target_id",
         "md5(x.text) AS source_md5, md5(y.text) AS target_md5",
     ),
+    "cluster_pairs_cut": _neighbours(
+        "source", "doc_id", "documents", 42,
+        "x.doc_id AS source_id, y.doc_id AS target_id",
+        "md5(x.text) AS source_md5, md5(y.text) AS target_md5",
+    ),
+    "cluster_collect_cut": """
+WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT source, k // 5 AS part, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids
+FROM r GROUP BY source, k // 5""",
     "cluster_pairs_by_label": _neighbours(
         "label", "vec_id", "embeddings", 3, "x.label::BIGINT AS label",
         "x.vec_id AS source_id, y.vec_id AS target_id",

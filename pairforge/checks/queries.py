@@ -308,6 +308,28 @@ def cluster_pairs(spark, sf_dir):
     )
 
 
+@query
+def cluster_pairs_cut(spark, sf_dir):
+    """Clusters cut into pieces of a few rows give the pairs of whole ones."""
+    docs = _documents(spark, sf_dir).withColumnRenamed("source", "set_id")
+    return clusters.pair_neighbours(docs, "set_id", "text", "doc_id", hot_rows=7).select(
+        "source_id",
+        "target_id",
+        F.md5("source").alias("source_md5"),
+        F.md5("target").alias("target_md5"),
+    )
+
+
+@query
+def cluster_collect_cut(spark, sf_dir):
+    """Arrays of five members, from clusters cut into pieces."""
+    held = clusters.collect_clusters(
+        _documents(spark, sf_dir), "source", "text", "doc_id", hot_rows=7, part_rows=5
+    )
+    ids = F.array_join(F.transform("members.key", lambda k: k.cast("string")), ",")
+    return held.select("source", "part", F.col("n").cast("long").alias("n"), ids.alias("ids"))
+
+
 @query
 def cluster_pairs_by_label(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("text", F.col("vec_id").cast("string"))

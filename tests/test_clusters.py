@@ -56,18 +56,28 @@ def test_hot_keys_are_few_by_construction(skewed):
     assert {r[0]: r[1] for r in both} == {"hot": 15, "warm": 3}
 
 
-def test_hot_cluster_is_cut(skewed):
-    held = clusters.collect_clusters(skewed, hot_rows=50, part_rows=3).collect()
-    got = defaultdict(list)
-    for row in sorted(held, key=lambda r: (r["paraphrase_set_id"], r["part"])):
-        assert row["n"] == len(row["members"]) <= 3
-        got[row["paraphrase_set_id"]] += [(m["key"], m["text"]) for m in row["members"]]
+def test_pairs_do_not_depend_on_how_clusters_are_cut(skewed):
+    def some(df, hot_rows):
+        return {(r["source_id"], r["target_id"]) for r in clusters.pair_neighbours(df, hot_rows=hot_rows).collect()}
+
+    whole = some(skewed, 10**6)
+    assert some(skewed, 10) == some(skewed, 50) == whole
+    # Nor on other rows of the table.
+    hot = some(skewed.filter("paraphrase_set_id = 'hot'"), 50)
+    assert hot < whole and len(hot) == 350
+
+
+@pytest.mark.parametrize("hot_rows", [10, 50, 10**6])
+def test_arrays_run_in_key_order_at_any_cut(skewed, hot_rows):
+    held = clusters.collect_clusters(skewed, hot_rows=hot_rows, part_rows=3).collect()
     want = defaultdict(list)
     for row in skewed.orderBy("sentence_id").collect():
         want[row["paraphrase_set_id"]].append((row["sentence_id"], row["paraphrase"]))
-    assert {k: sorted(v) for k, v in got.items()} == want
-    parts = [r["part"] for r in held if r["paraphrase_set_id"] == "hot"]
-    assert len(parts) == len(set(parts)) >= 234
+    got = {(r["paraphrase_set_id"], r["part"]): [(m["key"], m["text"]) for m in r["members"]] for r in held}
+    assert len(got) == len(held) and all(r["n"] == len(r["members"]) for r in held)
+    assert got == {
+        (name, p // 3): rows[p : p + 3] for name, rows in want.items() for p in range(0, len(rows), 3)
+    }
 
 
 def test_small_clusters_stay_whole(skewed):
@@ -80,6 +90,7 @@ def test_wide_rows_are_shuffled_by_cluster_and_bucket(skewed):
     plan = plan_of(clusters.pair_neighbours(skewed, hot_rows=50))
     wide = [l for l in plan.splitlines() if "Exchange hashpartitioning(paraphrase_set_id" in l]
     assert any("_bucket" in l for l in wide)
+    assert plan.count("_row") and "CartesianProduct" not in plan
 
 
 def test_language_filter_and_pruning(spark, tmp_path):
