@@ -7,9 +7,10 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def infer(
@@ -23,35 +24,40 @@ def infer(
     """Append ``output`` = model(inputs).
 
     ``load`` returns the model, a function of one list per input column giving
-    one value per row. It is called once per Python worker and kept for later
-    tasks. The model sees at most ``batch_size`` rows at a time, cut from Arrow
-    batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows; lower that
-    setting for very long texts.
-
-    Runs as ``mapInPandas``, so a filter on the output never runs the model
-    twice. Catalyst does not move filters below it: apply cheap ones first.
+    one value per row; a null input is None. It is called once per Python worker
+    and kept for later tasks. The model sees at most ``batch_size`` rows at a time,
+    cut from Arrow batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows;
+    lower that setting for very long texts.
+
+    Runs as ``mapInArrow``: only the inputs become Python values, all other columns
+    pass through as they are, and a filter on the output never runs the model twice.
+    Catalyst does not move filters below it: apply cheap ones first.
     """
     if isinstance(output_type, str):
         output_type = T.DataType.fromDDL(output_type)
     schema = T.StructType(df.schema.fields + [T.StructField(output, output_type)])
+    kind = to_arrow_type(output_type)
+    names = schema.names
+    places = [df.columns.index(name) for name in inputs]
     token = uuid.uuid4().hex
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A module of its own outlives the task but not the worker.
         name = "pairforge_models"
         models = vars(sys.modules.setdefault(name, types.ModuleType(name)))
         if token not in models:
             models[token] = load()
         model = models[token]
-        for frame in frames:
-            columns = [frame[name].tolist() for name in inputs]
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in places]
             values = []
-            for start in range(0, len(frame), batch_size):
-                batch = [column[start : start + batch_size] for column in columns]
-                given = list(model(*batch))
-                if len(given) != len(batch[0]):
-                    raise ValueError(f"model gave {len(given)} values for {len(batch[0])} rows")
+            for start in range(0, batch.num_rows, batch_size):
+                part = [column[start : start + batch_size] for column in columns]
+                given = list(model(*part))
+                if len(given) != len(part[0]):
+                    raise ValueError(f"model gave {len(given)} values for {len(part[0])} rows")
                 values += given
-            yield frame.assign(**{output: pd.Series(values, index=frame.index, dtype=object)})
+            made = pa.array(values, kind, from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,8 @@ from pairforge.operators.ranking import number_rows
 from pairforge.runtime import durable
 from pairforge.schema import PAIRS, XML_PAIRS
 
-# Tab-separated text as pandas writes it: quotes are doubled inside quotes.
+# Tab-separated text as pandas writes it: quotes are doubled inside quotes. A row with
+# too few or too many fields fails the job, whichever columns are asked for.
 TSV = {
     "sep": "\t",
     "header": "true",
@@ -21,13 +22,27 @@ TSV = {
     "escape": '"',
     "multiLine": "true",
     "enforceSchema": "false",
+    "mode": "FAILFAST",
+    "columnPruning": "false",
 }
 
 
+PAIR_END = "</pair>"
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
 def read_jsonl(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str = PAIRS
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = PAIRS
 ) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """JSON lines; a line that is no JSON fails the job.
+
+    Without a ``schema`` every field of the first level is kept, as a string, in
+    order of name. That takes one more pass over the input.
+    """
+    reader = spark.read.option("mode", "FAILFAST")
+    if schema is None:
+        return reader.option("primitivesAsString", "true").json(path)
+    return reader.schema(schema).json(path)
 
 
 def read_delimited(
@@ -35,14 +50,36 @@ def read_delimited(
     path: str | list[str],
     schema: T.StructType | str | None = None,
     delimiter: str = "\t",
+    one_line: bool = False,
 ) -> DataFrame:
     """Delimited text with a header, every column a string named by it.
 
     With a ``schema`` the header must agree with it. Quoted fields may span lines,
-    so a file is one split: store large tables as many files.
+    so a file is one split. With ``one_line`` rows do not, as ``write_predictions``
+    stores them on request: files of any size are split, and escapes are undone.
     """
-    reader = spark.read.options(**{**TSV, "sep": delimiter})
-    return (reader.schema(schema) if schema else reader).csv(path)
+    options = {**TSV, "sep": delimiter, "multiLine": "false" if one_line else "true"}
+    reader = spark.read.options(**options)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if not one_line:
+        return df
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({name: unescape_lines(F.col(name)) for name in strings})
+
+
+def escape_lines(text: Column) -> Column:
+    """Backslashes and line ends as two-character escapes."""
+    for plain, escaped in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def unescape_lines(text: Column) -> Column:
+    """The inverse of ``escape_lines``. NUL stands in for backslashes meanwhile."""
+    text = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    for plain, escaped in ESCAPES[1:]:
+        text = F.replace(text, F.lit(escaped), F.lit(plain))
+    return F.replace(text, F.lit("\0"), F.lit("\\"))
 
 
 def with_row_number(df: DataFrame, name: str = "pair_id") -> DataFrame:
@@ -85,14 +122,24 @@ def annotated_pairs(raw: DataFrame, need_labels: bool, force: bool = False) -> D
 def read_xml(
     spark: SparkSession, path: str | list[str], need_labels: bool, force: bool = False
 ) -> DataFrame:
-    """Annotated pairs from ``<pair id entailment similarity><t/><h/></pair>`` elements."""
-    raw = (
-        spark.read.format("xml")
-        .options(rowTag="pair", ignoreSurroundingSpaces="false", mode="FAILFAST")
-        .schema(XML_PAIRS)
-        .load(path)
-    )
-    return annotated_pairs(raw, need_labels, force)
+    """Annotated pairs from ``<pair id entailment similarity><t/><h/></pair>`` elements.
+
+    The text is cut at the end tag, which Spark's line reader finds across splits, so
+    a file of any size is read by many tasks. What stands before a record's start tag
+    is left out, and a record that does not parse fails the job.
+    """
+    records = spark.read.option("lineSep", PAIR_END).text(path)
+    text = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    # Pairs without children end in their own tag; each is an element like the last one.
+    bare = r"<pair\b[^>]*/>"
+    rest = F.regexp_replace("_text", bare, "")
+    start = F.regexp_instr(rest, F.lit(r"<pair[\s>]"))
+    whole = F.when(start > 0, F.concat(F.substring(rest, start, F.lit(2**31 - 1)), F.lit(PAIR_END)))
+    elements = F.array_append(F.regexp_extract_all("_text", F.lit(bare), F.lit(0)), whole)
+    found = records.select(text.alias("_text")).select(F.explode(elements).alias("_element"))
+    found, element = found.filter("_element IS NOT NULL"), F.col("_element")
+    parsed = F.from_xml(element, XML_PAIRS, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"})
+    return annotated_pairs(found.select(parsed.alias("_pair")).select("_pair.*"), need_labels, force)
 
 
 def read_named(

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pairforge.sources.readers import escape_lines
 
 ROLES = ("source", "target", "prediction")
 # Spark trims fields on write unless told not to.
@@ -26,14 +29,18 @@ def write_jsonl(df: DataFrame, path: str, skip_existing: bool = False) -> None:
     df.write.mode(_mode(skip_existing)).option("ignoreNullFields", "false").json(path)
 
 
-def write_predictions(df: DataFrame, path: str, skip_existing: bool = False) -> None:
-    """Source, target and prediction as tab-separated text with a header."""
-    (
-        df.select(*ROLES)
-        .write.mode(_mode(skip_existing))
-        .options(**PREDICTION_FORMAT)
-        .csv(path)
-    )
+def write_predictions(
+    df: DataFrame, path: str, skip_existing: bool = False, one_line: bool = False
+) -> None:
+    """Source, target and prediction as tab-separated text with a header.
+
+    With ``one_line`` line ends inside a text are escaped, so that a large file can be
+    read by many tasks; ``read_delimited`` has the same switch.
+    """
+    roles = df.select(*ROLES)
+    if one_line:
+        roles = roles.select(*[escape_lines(F.col(c)).alias(c) for c in ROLES])
+    roles.write.mode(_mode(skip_existing)).options(**PREDICTION_FORMAT).csv(path)
 
 
 def write_lines(

@@ -39,7 +39,7 @@ def test_infer_rejects_a_short_answer(pairs):
 
 def test_filter_on_output_runs_the_model_once(pairs):
     scored = infer(pairs, ["source"], "y", "int", lambda: lambda t: [len(x) for x in t])
-    assert optimized(scored.filter("y > 3 and y < 90")).count("MapInPandas") == 1
+    assert optimized(scored.filter("y > 3 and y < 90")).count("MapInArrow") == 1
 
 
 def test_cheap_filters_run_below_the_model(spark, pairs):
@@ -50,7 +50,7 @@ def test_cheap_filters_run_below_the_model(spark, pairs):
         pairs, lambda df: filter_pairs.score_with_model(df, load), 0.5, 0.6
     )
     plan = optimized(scored)
-    model = plan.index("MapInPandas")
+    model = plan.index("MapInArrow")
     assert plan.index("sem_sim") < model < plan.index("regexp_extract_all")
     rows = scored.collect()
     assert rows and all(r["sem_sim"] > 0.6 for r in rows)
@@ -129,3 +129,23 @@ def test_cleaning_plans_have_no_shuffle_and_no_python(pairs, spark, tmp_path):
     rows = spark.read.schema("source string, target string").json(str(tmp_path / "in"))
     plan = plan_of(clean_and_prune(rows))
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_infer_leaves_other_columns_and_nulls_alone(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    rows = [
+        (2**53 + 1, Decimal("1.10"), dt.datetime(2024, 5, 6, 7, 8, 9, 123456), [1, None, 3], {"a": 1}, 1.5),
+        (None, None, None, None, None, None),
+        (-(2**63), Decimal("-3.00"), dt.datetime(1960, 1, 1), [], {}, float("nan")),
+    ]
+    df = spark.createDataFrame(rows, "n long, d decimal(20,2), t timestamp, a array<int>, m map<string,int>, x double")
+
+    def load():
+        return lambda n, x: [f"{v is None} {w is None}" for v, w in zip(n, x, strict=True)]
+
+    got = infer(df, ["n", "x"], "seen", "string", load).collect()
+    assert [r["seen"] for r in got] == ["False False", "True True", "False False"]
+    for before, after in zip(rows, got, strict=True):
+        assert [str(v) for v in before] == [str(v) for v in after[:-1]]

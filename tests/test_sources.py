@@ -265,3 +265,72 @@ def test_shared_folder_must_be_named_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Unset("yarn"))
     assert shared_dir(Unset("local[2]")) == shared_dir(Unset("local[2]"))
+
+
+def failing(df):
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|Malformed|malformed"):
+        df.collect()
+
+
+def test_a_broken_json_line_fails(spark, tmp_path):
+    path = tmp_path / "broken.jsonl"
+    path.write_text('{"source": "a", "target": "b"}\n{"source": "a", \n{"source": "c", "target": "d"}\n')
+    failing(readers.read_jsonl(spark, str(path)))
+    failing(readers.read_jsonl(spark, str(path)).select("source"))
+
+
+@pytest.mark.parametrize("row", ["a\tb", "a\tb\tc\td"])
+def test_a_row_of_the_wrong_length_fails(spark, tmp_path, row):
+    path = tmp_path / "wrong.tsv"
+    path.write_text(f"source\ttarget\tprediction\n1\t2\t3\n{row}\n")
+    failing(readers.read_delimited(spark, str(path)))
+    failing(readers.read_delimited(spark, str(path)).select("source"))
+
+
+def test_json_without_a_schema_keeps_every_field(spark, tmp_path):
+    path = tmp_path / "wide.jsonl"
+    path.write_text('{"source": "a", "target": "007", "label": 1}\n{"target": "d", "source": "c", "label": 0}\n')
+    df = readers.read_jsonl(spark, str(path), None)
+    assert sorted(map(tuple, df.select("source", "target", "label").collect())) == [("a", "007", "1"), ("c", "d", "0")]
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_xml_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    import gzip
+
+    def pair(i):
+        if i % 50 == 7:
+            return f'<pair id="{i}" similarity="3.0"/>'
+        return f'<pair id="{i}" entailment="None" similarity="2.5">\n  <t>a &lt; é {i}\n b</t>\n  <h> h{i} </h>\n</pair>'
+
+    body = "<?xml version='1.0'?><corpus>\n<!-- <pair id='x'> -->" + "\n".join(map(pair, range(2000))) + "\n</corpus>"
+    (tmp_path / "one.xml").write_text(body, encoding="utf-8")
+    df = readers.read_xml(spark, str(tmp_path / "one.xml"), need_labels=True)
+    assert df.rdd.getNumPartitions() > 4
+    rows = {int(r["id"]): r for r in df.collect()}
+    assert sorted(rows) == list(range(2000))
+    assert all(rows[i]["t"] == f"a < é {i}\n b" and rows[i]["h"] == f" h{i} " for i in rows if i % 50 != 7)
+    assert rows[7]["t"] is None and rows[7]["similarity"] == 3.0
+    (tmp_path / "many").mkdir()
+    with gzip.open(tmp_path / "many" / "a.xml.gz", "wt", encoding="utf-8") as out:
+        out.write(body)
+    (tmp_path / "many" / "b.xml").write_text("<corpus></corpus>")
+    assert readers.read_xml(spark, str(tmp_path / "many"), need_labels=True).count() == 2000
+
+
+def test_predictions_on_one_line_are_read_by_many_tasks(spark, tmp_path, small_splits):
+    texts = [f'a "b" {i}\n\\n\r\n\\\ttab\\' if i % 3 else f"plain {i}" for i in range(3000)]
+    df = spark.createDataFrame([(t, t[::-1], t) for t in texts], "source string, target string, prediction string")
+    writers.write_predictions(df.coalesce(1), str(tmp_path / "lines"), one_line=True)
+    back = readers.read_delimited(spark, str(tmp_path / "lines"), one_line=True)
+    assert back.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, back.collect())) == sorted((t, t[::-1], t) for t in texts)
