@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,16 +72,13 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = column.cast(pa.binary())
-        lengths = np.array([len(x) if x is not None else 0 for x in sizes.to_pylist()], np.int64) \
-            if column.nbytes > SLICE_BYTES else None
-        if lengths is None:
-            yield batch
-            continue
-        steps = np.cumsum(lengths) // SLICE_BYTES
+        lengths = np.asarray(pc.binary_length(column).fill_null(0))
+        steps = np.cumsum(lengths, dtype=np.int64) // SLICE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(edges, edges[1:], strict=False):
             yield batch.slice(start, stop - start)
+    # Workers live on after the task; what they do not use goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -225,7 +225,7 @@ class Crf:
     emit: np.ndarray
     move: np.ndarray
     _cache: dict = field(default_factory=dict, repr=False, compare=False)
-    cache_size: int = 200_000
+    cache_size: int = 50_000
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": {}}
