@@ -213,6 +213,10 @@ _BLEU_BOTH = (
     f"{_bleu('s', 'predicted', 'prediction', 'source')}"
 )
 
+TURNS_WITH_GAPS = """t AS (
+  SELECT conv_id, md5('42:' || coalesce(conv_id::VARCHAR, '')) AS h
+  FROM (SELECT CASE WHEN conv_id % 7 > 0 THEN conv_id END AS conv_id FROM conversations))"""
+
 ORACLE: dict[str, str] = {
     "clean_pairs_a": f"WITH {DIRTY}, {_clean_a('clean', 'dirty')} SELECT pair_id, source, target FROM clean",
     "clean_pairs_b": rf"""
@@ -308,6 +312,21 @@ SELECT vec_id, count(*) AS uses FROM ids WHERE vec_id NOT IN (SELECT vec_id FROM
         "x.doc_id AS source_id, y.doc_id AS target_id",
         "md5(x.text) AS source_md5, md5(y.text) AS target_md5",
     ),
+    "split_with_ties": f"""
+WITH {TURNS_WITH_GAPS}, r AS (SELECT conv_id, row_number() OVER (ORDER BY h, conv_id NULLS FIRST) AS k, count(*) OVER () AS total FROM t),
+z AS (SELECT conv_id, k, least(77, total) AS n FROM r),
+a AS (SELECT *, round_even(n * 0.8, 0) AS train FROM z),
+b AS (SELECT *, train + round_even((n - train) * 0.5, 0) AS upto FROM a)
+SELECT CASE WHEN k <= train THEN 'train' WHEN k <= upto THEN 'validation' ELSE 'test' END AS split, conv_id, count(*) AS n
+FROM b WHERE k <= n GROUP BY 1, 2""",
+    "first_n_with_ties": f"""
+WITH {TURNS_WITH_GAPS}, r AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS LAST) AS k FROM t)
+SELECT conv_id, count(*) AS n FROM r WHERE k <= 45 GROUP BY conv_id""",
+    "shuffle_order_with_ties": f"""
+WITH {TURNS_WITH_GAPS}, r AS (SELECT conv_id, row_number() OVER (ORDER BY h, conv_id NULLS FIRST) AS k FROM t)
+SELECT conv_id, count(*) AS n, min(k) AS first, max(k) AS last FROM r GROUP BY conv_id""",
+    "shuffled_rows": """
+SELECT doc_id, md5(text) AS text_md5, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents""",
     "cluster_pairs_cut": _neighbours(
         "source", "doc_id", "documents", 42,
         "x.doc_id AS source_id, y.doc_id AS target_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.checks.inputs import (
@@ -190,36 +190,36 @@ def _documents(spark, sf_dir):
 
 @query
 def sample_n(spark, sf_dir):
-    return ranking.sample_n(_documents(spark, sf_dir), 150, "doc_id").select("doc_id", "text")
+    return ranking.sample_n(_documents(spark, sf_dir), 150, "doc_id", unique=True).select("doc_id", "text")
 
 
 @query
 def sample_fraction(spark, sf_dir):
-    return ranking.sample_fraction(_documents(spark, sf_dir), 0.33, "doc_id").select("doc_id", "lang")
+    return ranking.sample_fraction(_documents(spark, sf_dir), 0.33, "doc_id", unique=True).select("doc_id", "lang")
 
 
 @query
 def split_80_10_10(spark, sf_dir):
-    return ranking.split_80_10_10(_documents(spark, sf_dir), None, "doc_id").select(
+    return ranking.split_80_10_10(_documents(spark, sf_dir), None, "doc_id", unique=True).select(
         "doc_id", "text", "split"
     )
 
 
 @query
 def split_sampled(spark, sf_dir):
-    return ranking.split_80_10_10(_documents(spark, sf_dir), 155, "doc_id").select("doc_id", "split")
+    return ranking.split_80_10_10(_documents(spark, sf_dir), 155, "doc_id", unique=True).select("doc_id", "split")
 
 
 @query
 def split_remainder(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    taken = ranking.sample_fraction(docs, 0.8, "doc_id")
+    taken = ranking.sample_fraction(docs, 0.8, "doc_id", unique=True)
     return align.remainder(docs, taken, "doc_id").select("doc_id", "text")
 
 
 @query
 def first_n(spark, sf_dir):
-    return ranking.first_n(_documents(spark, sf_dir), 170, "doc_id").select("doc_id", "text")
+    return ranking.first_n(_documents(spark, sf_dir), 170, "doc_id", unique=True).select("doc_id", "text")
 
 
 @query
@@ -258,6 +258,45 @@ def used_samples(spark, sf_dir):
     )
 
 
+def _turns_with_gaps(spark, sf_dir):
+    """Conversation turns, whose key has ties, with every seventh key missing."""
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.when(F.col("conv_id") % 7 > 0, F.col("conv_id")).alias("conv_id"), "turn", "text")
+
+
+@query
+def split_with_ties(spark, sf_dir):
+    """Exact sizes on a key with ties and nulls: rows of each key in each split."""
+    rows = ranking.split_80_10_10(_turns_with_gaps(spark, sf_dir), 77, "conv_id")
+    return rows.groupBy("split", "conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def first_n_with_ties(spark, sf_dir):
+    rows = ranking.first_n(_turns_with_gaps(spark, sf_dir), 45, "conv_id")
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def shuffle_order_with_ties(spark, sf_dir):
+    """Ranks of all rows in random order; rows of one key are next to each other."""
+    rows = ranking.with_shuffle_rank(_turns_with_gaps(spark, sf_dir), "conv_id")
+    return rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("rank").cast("long").alias("first"),
+        F.max("rank").cast("long").alias("last"),
+    )
+
+
+@query
+def shuffled_rows(spark, sf_dir):
+    """All rows in seeded random order, with their places numbered as they come."""
+    shuffled = ranking.shuffle_rows(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    ordered = shuffled.withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at")).cast("long")
+    return ordered.select("doc_id", F.md5("text").alias("text_md5"), place.alias("place"))
+
+
 # --- joins and clusters ----------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ def run(
     """Writes one folder per split. Skipped when the output is there already."""
     pairs = with_row_number(read_jsonl(spark, input_path, schema))
     write_splits(
-        split_80_10_10(pairs, num_samples, seed=seed).drop("pair_id"),
+        split_80_10_10(pairs, num_samples, seed=seed, unique=True).drop("pair_id"),
         output_path,
         skip_existing=True,
     )

@@ -107,9 +107,52 @@ def test_first_n_needs_an_integer_key(spark):
 
 
 def test_sampling_moves_no_texts(table):
-    plan = plan_of(ranking.split_80_10_10(table(100)))
+    assert "Exchange" not in plan_of(ranking.split_80_10_10(table(100)))
+    plan = plan_of(ranking.split_80_10_10(table(100), unique=True))
     main = plan[plan.rindex("+- Project") :] if "Subquery" not in plan else plan
     # Whatever is shuffled or ranked carries keys and hashes only.
     for line in main.splitlines():
         if "Exchange" in line or "Window" in line:
             assert "source" not in line
+
+
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Six keys of five rows each and ten rows without a key."""
+    rows = [(i % 6, f"row {i}") for i in range(30)] + [(None, f"null {i}") for i in range(10)]
+    return spark.createDataFrame(rows, "pair_id long, source string").repartition(4)
+
+
+@pytest.mark.parametrize("n", [1, 5, 7, 13, 25, 33, 38, 40, 60])
+def test_sizes_are_exact_with_tied_and_null_keys(tied, n):
+    least = min(n, 40)
+    assert ranking.sample_n(tied, n).count() == least
+    assert ranking.sample_n(tied, n).distinct().count() == least
+    first = [r["pair_id"] for r in ranking.first_n(tied, n).collect()]
+    assert sorted(first, key=lambda k: (k is None, k)) == ([i // 5 for i in range(30)] + [None] * 10)[:n]
+    parts = [r["split"] for r in ranking.split_80_10_10(tied, n).collect()]
+    a = round(0.8 * least)
+    b = round(0.5 * (least - a))
+    assert [parts.count(s) for s in ("train", "validation", "test")] == [a, b, least - a - b]
+    assert ranking.split_80_10_10(tied, n).drop("split").distinct().count() == least
+
+
+def test_identical_rows_count_each(spark):
+    same = spark.createDataFrame([(1, "a")] * 9 + [(2, "b")], "pair_id long, source string")
+    assert ranking.sample_n(same, 4).count() == 4
+    assert ranking.first_n(same, 4).count() == 4
+
+
+def test_fractions_and_ranks_with_tied_and_null_keys(tied):
+    assert ranking.sample_fraction(tied, 0.3).count() == 12
+    ranks = [r["rank"] for r in ranking.with_shuffle_rank(tied).collect()]
+    assert sorted(ranks) == list(range(1, 41))
+    batches = ranking.shuffle_batches(tied, 16).collect()
+    assert sorted((r["batch_id"], r["pos"]) for r in batches) == [(i // 16, i % 16) for i in range(40)]
+
+
+def test_a_key_said_to_be_unique_is_checked_at_the_cut(tied):
+    assert ranking.sample_n(tied.dropDuplicates(["pair_id"]), 3, unique=True).count() == 3
+    cut = next(n for n in range(1, 6) if n % 5)
+    with pytest.raises(Exception, match="not unique"):
+        ranking.sample_n(tied.filter("pair_id is not null"), cut, unique=True).collect()
