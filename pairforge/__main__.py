@@ -10,7 +10,6 @@ import argparse
 import importlib
 from collections.abc import Callable
 
-from pairforge.functions.tokens import with_word_counts
 from pairforge.plans import (
     cluster_pairs,
     filter_pairs,
@@ -21,7 +20,7 @@ from pairforge.plans import (
     sts,
 )
 from pairforge.runtime import session
-from pairforge.sources.readers import read_jsonl
+from pairforge.sources.readers import read_jsonl, with_row_key
 
 
 def loader(name: str) -> Callable:
@@ -59,9 +58,21 @@ def parser() -> argparse.ArgumentParser:
     p = job("make-splits", "input_path", "output_path")
     p.add_argument("--num_samples", type=int, default=300_000)
 
-    job("profile", "input_path")
-
-    p = job("generate", "input_path", "output_path", model=True)
+    p = job("profile", "output_path")
+    p.add_argument("--corpus", action="append", required=True, metavar="NAME=PATH", help="JSON lines; may repeat")
+    p.add_argument("--positive", action="append", default=[], metavar="NAME=SOURCE,TARGET[,LABEL]")
+    p.add_argument("--sample", type=int)
+
+    p = job("generate", "output_path", model=True)
+    p.add_argument("--file")
+    p.add_argument("--dataset")
+    p.add_argument("--config")
+    p.add_argument("--split")
+    p.add_argument("--delimiter")
+    p.add_argument("--remove_bad_chars", action="store_true")
+    p.add_argument("--max_samples", type=int)
+    p.add_argument("--filter", dest="predicate")
+    p.add_argument("--map", dest="mapping")
     p.add_argument("--source_column", default="source")
     p.add_argument("--target_column", default="target")
     p.add_argument("--prefix", default="")
@@ -73,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--target_column")
     p.add_argument("--predictions_column")
     p.add_argument("--lower_case", action="store_true")
+    p.add_argument("--model", type=loader, help="vectors for the mean cosine")
 
     job("sts", "xml_path", model=True)
     return top
@@ -95,14 +107,21 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.job == "make-splits":
         make_splits.run(spark, a.input_path, a.output_path, a.num_samples)
     elif a.job == "profile":
-        pairs = with_word_counts(read_jsonl(spark, a.input_path))
-        profile_corpora.profile_corpora({a.input_path: pairs}).show(truncate=False)
-        for name, table in profile_corpora.histograms(pairs).items():
-            print(name)
-            table.orderBy("bin").show(20, truncate=False)
+        corpora = {}
+        labelled = dict(item.split("=", 1) for item in a.positive)
+        for name, path in (item.split("=", 1) for item in a.corpus):
+            pairs = with_row_key(read_jsonl(spark, path, None))
+            if name in labelled:
+                pairs = profile_corpora.positive_pairs(pairs, *labelled[name].split(","), keep=("pair_id",))
+            corpora[name] = pairs
+        profile_corpora.run(spark, corpora, a.output_path, a.sample)
+        spark.read.json(f"{a.output_path}/means").show(truncate=False)
     elif a.job == "generate":
         generate.run_generate(
-            spark, read_jsonl(spark, a.input_path), a.model, a.output_path,
+            spark, a.output_path, a.model,
+            file=a.file, dataset=a.dataset, config=a.config, split=a.split,
+            delimiter=a.delimiter, remove_bad_chars=a.remove_bad_chars,
+            max_samples=a.max_samples, predicate=a.predicate, mapping=a.mapping,
             source=a.source_column, target=a.target_column,
             prefix=a.prefix, batch_size=a.batch_size,
         )
@@ -110,7 +129,7 @@ def main(arguments: list[str] | None = None) -> None:
         generate.run_score(
             spark, a.input_path, a.output_path,
             metric=a.metric, source=a.source_column, target=a.target_column,
-            prediction=a.predictions_column, lower_case=a.lower_case,
+            prediction=a.predictions_column, lower_case=a.lower_case, load=a.model,
         ).show(truncate=False)
     elif a.job == "sts":
         sts.run(spark, a.xml_path, a.model).show()

@@ -479,6 +479,24 @@ c AS (SELECT pair_id, r, {_clean_b('source')} AS source, {_clean_b('target')} AS
 SELECT pair_id, source, target, length(target)::BIGINT AS n, s.split FROM c
 JOIN (SELECT 'train' AS split, 60 AS k UNION ALL SELECT 'test', 10) s ON r <= k
 WHERE length(source) > 40""",
+    "generate_job": rf"""
+WITH {DIRTY}, o AS (SELECT *, row_number() OVER (ORDER BY pair_id) AS r FROM dirty),
+bare AS (SELECT conv_id, regexp_replace(source, '\p{{C}}', '', 'g') AS source,
+                regexp_replace(target, '\p{{C}}', '', 'g') AS target FROM o WHERE r <= 120),
+c AS (SELECT 'q: ' || {_clean_b('source')} AS source, {_clean_b('target')} AS target FROM bare WHERE conv_id % 3 > 0)
+SELECT source, target, {_strip("replace(source, 'e', 'E')")} AS prediction FROM c""",
+    "score_job": f"""
+WITH {PREDICTED}, {_bleu('b', 'predicted', 'prediction', 'target')}, {_bleu('s', 'predicted', 'prediction', 'source')},
+k AS (SELECT
+  list_transform(['e', 't', 'a', 'o', 'i', 'n'], lambda c: (length(prediction) - length(replace(prediction, c, '')))::DOUBLE) AS x,
+  list_transform(['e', 't', 'a', 'o', 'i', 'n'], lambda c: (length(target) - length(replace(target, c, '')))::DOUBLE) AS y
+  FROM predicted),
+v AS (SELECT b.bleu AS b, s.bleu AS s, (SELECT avg(list_cosine_similarity(x, y)) FROM k) AS c FROM b, s)
+SELECT 'bleu' AS metric, round_even(b * 100, 3) AS value FROM v
+UNION ALL SELECT 'self_bleu', round_even(s * 100, 3) FROM v
+UNION ALL SELECT 'ibleu', round_even(round_even(0.7 * b - 0.3 * s, 3) * 100, 3) FROM v
+UNION ALL SELECT 'sbert', round_even(c * 100, 3) FROM v""",
+    "skip_existing": f"WITH {PAIRS} SELECT pair_id, source FROM pairs WHERE pair_id % 2 = 0",
     "stream_clean_pairs": f"""
 WITH {DIRTY}, {_clean_a('clean', 'dirty')}, counted AS ({_COUNTED} FROM clean)
 SELECT * FROM counted WHERE {_ratio(0.5)} AND source <> target""",

@@ -731,6 +731,49 @@ def load_prepared(spark, sf_dir):
     )
 
 
+@query
+def generate_job(spark, sf_dir):
+    """The whole job from a JSON file to a prediction file: clean, cut, filter, map, generate."""
+    rows = dirty_pairs(spark, sf_dir).select("pair_id", "source", "target", "conv_id")
+    given, made = fresh_path(spark, "given") + ".jsonl", fresh_path(spark, "made")
+    writers.write_jsonl(rows, given)
+    generate.run_generate(
+        spark,
+        made,
+        lambda: lambda texts: [f" {t.replace('e', 'E')}\n" for t in texts],
+        file=given,
+        remove_bad_chars=True,
+        max_samples=120,
+        predicate="conv_id % 3 > 0",
+        mapping="source = concat('q: ', source)",
+        source="source",
+        target="target",
+    )
+    return readers.read_delimited(spark, made)
+
+
+@query
+def score_job(spark, sf_dir):
+    """A prediction file to a report file of four values; vectors by a small model."""
+    given, made = fresh_path(spark, "given"), fresh_path(spark, "report")
+    writers.write_predictions(predicted_pairs(spark, sf_dir), given)
+
+    def load():
+        return lambda texts: [[float(t.count(c)) for c in "etaoin"] for t in texts]
+
+    return generate.run_score(spark, given, made, load=load)
+
+
+@query
+def skip_existing(spark, sf_dir):
+    """Writing twice to one place, the second time without effect."""
+    rows = conversation_pairs(spark, sf_dir).select("pair_id", "source")
+    path = fresh_path(spark, "once")
+    writers.write_jsonl(rows.filter("pair_id % 2 = 0"), path, skip_existing=True)
+    writers.write_jsonl(rows, path, skip_existing=True)
+    return readers.read_jsonl(spark, path, "pair_id long, source string")
+
+
 @query
 def stream_clean_pairs(spark, sf_dir):
     """The pair cleaner over a file stream, drained; same rows as the batch plan."""

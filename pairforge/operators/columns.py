@@ -16,7 +16,7 @@ def resolve_column(df: DataFrame, name: str | None, position: int) -> str:
     if name is None:
         return df.columns[position]
     if name not in df.columns:
-        raise ValueError(f"column '{name}' needs to be one of: {', '.join(df.columns)}")
+        raise ValueError(f"no column '{name}' here, only {', '.join(df.columns)}")
     return name
 
 
@@ -58,7 +58,10 @@ def map_columns(df: DataFrame, assignments: str) -> DataFrame:
 
     Expressions are Spark SQL. A semicolon inside quotes does not separate.
     """
-    parts = re.findall(r"""(?:[^;'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")+""", assignments)
+    parts = re.findall(r"""(?:[^;'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")+|;""", assignments)
+    if "".join(parts) != assignments:
+        raise ValueError(f"a quote is not closed: {assignments!r}")
+    parts = [part for part in parts if part != ";"]
     for part in filter(None, map(str.strip, parts)):
         name, equals, expression = part.partition("=")
         if not equals or not name.strip() or not expression.strip():

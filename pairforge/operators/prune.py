@@ -56,7 +56,7 @@ def _unlabelled() -> Column:
 def require_labels(df: DataFrame) -> DataFrame:
     """Fail the job at the first annotated pair that has neither label."""
     message = F.concat(
-        F.lit("missing both entailment and similarity values for pair "), F.col("id")
+        F.lit("a pair carries no label at all, its id is "), F.coalesce(F.col("id"), F.lit("null"))
     )
     return df.filter(F.when(_unlabelled(), F.raise_error(message)).otherwise(F.lit(True)))
 

@@ -261,25 +261,31 @@ def shuffle_batches(
     )
 
 
-def number_rows(rows: DataFrame, chunk: list[str], sequence: str, name: str) -> DataFrame:
+def number_rows(
+    rows: DataFrame, chunk: list[str], sequence: str, name: str, by: str | None = None
+) -> DataFrame:
     """Consecutive 0-based numbers for rows stored as ordered chunks.
 
     ``chunk`` columns order the chunks, ``sequence`` increases by one inside a
-    chunk. There is one chunk per input split or sort partition, and only the
+    chunk, and ``by`` is a short column that tells chunks apart, by default the first
+    chunk column. There is one chunk per input split or sort partition, and only the
     chunk table is put in order; rows stay where they are.
     """
-    chunks = rows.groupBy(*chunk).agg(
-        F.min(sequence).alias("_first"), F.count(F.lit(1)).alias("_n")
+    by = by or chunk[0]
+    chunks = rows.groupBy(by).agg(
+        *[F.min(c).alias(c) for c in chunk if c != by],
+        F.min(sequence).alias("_first"),
+        F.count(F.lit(1)).alias("_n"),
     )
     before = Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select(
-        *chunk,
+        by,
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     return (
-        rows.join(broadcast_if_small(starts), chunk)
+        rows.join(broadcast_if_small(starts), by)
         .withColumn(name, F.col(sequence) + F.col("_shift"))
-        .drop(*chunk, sequence, "_shift")
+        .drop(*chunk, by, sequence, "_shift")
     )
 
 

@@ -13,7 +13,9 @@ from pairforge.operators.columns import prefix_column, rename_roles, resolve_col
 from pairforge.operators.inference import infer
 from pairforge.operators.metrics import evaluate, report
 from pairforge.operators.ranking import SEED, shuffle_batches
-from pairforge.sources.readers import read_delimited
+from pairforge.runtime import exists, scratch
+from pairforge.sources.readers import read_delimited, read_named
+from pairforge.sources.splits import load_splits, prepare
 from pairforge.sources.writers import write_predictions, write_report
 
 
@@ -60,6 +62,9 @@ def generate(
     return out.select(*keep, "source", "target", strip(F.col("_raw")).alias("prediction"))
 
 
+VECTORS = ("prediction_vec", "reference_vec")
+
+
 def score(
     df: DataFrame,
     metric: str = "generation",
@@ -67,25 +72,70 @@ def score(
     target: str | None = None,
     prediction: str | None = None,
     lower_case: bool = False,
+    load: Callable[[], Callable[[list[str]], list]] | None = None,
+    batch_size: int = 64,
 ) -> DataFrame:
-    """One metric over a prediction table. Lower-casing leaves predictions alone."""
-    roles = select_roles(df, source, target, prediction)
+    """One metric over a prediction table. Lower-casing leaves predictions alone.
+
+    Vectors of predictions and references, for the mean cosine, are taken from columns
+    of the table or made by the model that ``load`` returns.
+    """
+    held = [v for v in VECTORS if v in df.columns and load is None]
+    roles = select_roles(df, source, target, prediction, keep=held)
     if lower_case:
         roles = lower_columns(roles)
+    if load is not None:
+        # A null counts as empty here, as it does in the other values of the record.
+        for text, vector in zip(("prediction", "target"), VECTORS, strict=True):
+            given = roles.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+            roles = infer(given, ["_text"], vector, "array<double>", load, batch_size).drop("_text")
     return evaluate(roles, metric, reference="target")
 
 
 def run_generate(
-    spark: SparkSession, df: DataFrame, load: Callable, output_path: str, **options
+    spark: SparkSession,
+    output_path: str,
+    load: Callable,
+    file: str | None = None,
+    dataset: str | None = None,
+    config: str | None = None,
+    split: str | None = None,
+    delimiter: str | None = None,
+    remove_bad_chars: bool = False,
+    max_samples: int | None = None,
+    predicate: str | None = None,
+    mapping: str | None = None,
+    **options,
 ) -> None:
-    write_predictions(generate(df, load, **options), output_path)
+    """Load a csv or JSON file or a named dataset, prepare it, generate, write.
 
+    Preparing cleans the texts, keeps the first ``max_samples`` rows, and applies the
+    user's filter and mapping, in this order. Nothing is done when the output is there.
+    """
+    if (file is None) == (dataset is None):
+        raise ValueError("give either a file or a dataset")
+    if exists(spark, output_path):
+        return
+    with scratch(spark):
+        if file is not None:
+            rows = load_splits(spark, {"test": file}, delimiter=delimiter)["test"]
+        else:
+            rows = read_named(spark, dataset, config, split)
+        limits = {"test": max_samples} if max_samples is not None else None
+        ready = prepare({"test": rows}, remove_bad_chars, limits, predicate, mapping)["test"]
+        write_predictions(generate(ready, load, **options), output_path)
+
+
+def run_score(
+    spark: SparkSession, input_path: str, output_path: str, delimiter: str = "\t", **options
+) -> DataFrame:
+    """Score a prediction file, write the report (values times 100) and return it as written.
 
-def run_score(spark: SparkSession, input_path: str, output_path: str, **options) -> DataFrame:
-    """Score a prediction file and write the report (values times 100)."""
-    table = report(score(read_delimited(spark, input_path), **options))
-    write_report(table, output_path, skip_existing=True)
-    return table
+    An older report is replaced, so that it never stands for newer predictions.
+    """
+    table = report(score(read_delimited(spark, input_path, delimiter=delimiter), **options))
+    write_report(table, output_path)
+    return spark.read.schema(table.schema).option("header", "true").csv(output_path)
 
 
 def sts_batches(

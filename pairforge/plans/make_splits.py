@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from pairforge.operators.ranking import SEED, split_80_10_10
-from pairforge.schema import SCORED_PAIRS
-from pairforge.sources.readers import read_jsonl, with_row_number
+from pairforge.runtime import exists
+from pairforge.sources.readers import read_jsonl, with_row_key
 from pairforge.sources.writers import write_splits
 
 
@@ -17,12 +17,15 @@ def run(
     output_path: str,
     num_samples: int | None = 300_000,
     seed: int = SEED,
-    schema: T.StructType | str = SCORED_PAIRS,
+    schema: T.StructType | str | None = None,
 ) -> None:
-    """Writes one folder per split. Skipped when the output is there already."""
-    pairs = with_row_number(read_jsonl(spark, input_path, schema))
-    write_splits(
-        split_80_10_10(pairs, num_samples, seed=seed, unique=True).drop("pair_id"),
-        output_path,
-        skip_existing=True,
-    )
+    """Writes one folder per split, with all columns of the input.
+
+    Nothing is done when the output is there already. Rows are keyed by where they
+    stand in the input, so they are neither copied nor moved.
+    """
+    if exists(spark, output_path):
+        return
+    pairs = with_row_key(read_jsonl(spark, input_path, schema))
+    split = split_80_10_10(pairs, num_samples, seed=seed, unique=True)
+    write_splits(split.drop("pair_id"), output_path)

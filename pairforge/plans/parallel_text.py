@@ -11,6 +11,7 @@ from pairforge.operators.align import drop_last, zip_lines
 from pairforge.operators.inference import infer
 from pairforge.operators.prune import min_words
 from pairforge.operators.ranking import SEED, in_sample
+from pairforge.runtime import exists, scratch
 from pairforge.sources.readers import read_stripped_lines
 from pairforge.sources.writers import write_jsonl
 
@@ -54,12 +55,14 @@ def run(
     num_examples: int | None = None,
     trim_word_count: int | None = None,
 ) -> None:
-    pairs = select_pairs(
-        read_stripped_lines(spark, foreign_path),
-        read_stripped_lines(spark, native_path),
-        num_examples,
-        trim_word_count,
-    )
-    write_jsonl(
-        translate(pairs, load).select("source", "target"), output_path, skip_existing=True
-    )
+    """Nothing is done when the output is there already."""
+    if exists(spark, output_path):
+        return
+    with scratch(spark):
+        pairs = select_pairs(
+            read_stripped_lines(spark, foreign_path),
+            read_stripped_lines(spark, native_path),
+            num_examples,
+            trim_word_count,
+        )
+        write_jsonl(translate(pairs, load).select("source", "target"), output_path)

@@ -5,16 +5,22 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a broadcast table may hold when its bound is checked at run time.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 # Folders made for local sessions that name none, by application.
 _OWN_DIRS: dict[str, str] = {}
 
+# Tables written within the ``scratch`` blocks that are open.
+_SCRATCH: list[list[str]] = []
+
 # Settings the plans are written for. Sizes are left to adaptive execution.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,16 +67,51 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
 
     Cuts lineage in a way that survives lost executors, and freezes values that a
     re-run could change (row positions within a scan). Columnar, so later passes
-    over a few narrow columns stay cheap.
+    over a few narrow columns stay cheap. The table stays until its folder is removed,
+    or until the end of the job when written within ``scratch``.
     """
     path = fresh_path(df.sparkSession, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the table has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store Spark writes to. Starts no job."""
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of a job, the tables that ``durable`` wrote within it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            system, place = _file_system(spark, path)
+            system.delete(place, True)
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after counting rows and characters of a table against bounds."""
+    size = F.lit(8 * len(df.columns)) + sum(
+        (F.coalesce(F.length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"),
+        F.lit(0),
+    )
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -36,13 +36,11 @@ def read_jsonl(
 ) -> DataFrame:
     """JSON lines; a line that is no JSON fails the job.
 
-    Without a ``schema`` every field of the first level is kept, as a string, in
-    order of name. That takes one more pass over the input.
+    Without a ``schema`` every field is kept with the type it has in the JSON, in
+    order of name: quoted digits stay text. That takes one more pass over the input.
     """
     reader = spark.read.option("mode", "FAILFAST")
-    if schema is None:
-        return reader.option("primitivesAsString", "true").json(path)
-    return reader.schema(schema).json(path)
+    return (reader if schema is None else reader.schema(schema)).json(path)
 
 
 def read_delimited(
@@ -82,19 +80,38 @@ def unescape_lines(text: Column) -> Column:
     return F.replace(text, F.lit("\0"), F.lit("\\"))
 
 
+def with_row_key(df: DataFrame, name: str = "pair_id") -> DataFrame:
+    """A unique key for the rows of a table just read from files: file, split, place.
+
+    The same files give the same keys, and nothing is written or moved. For numbers
+    without gaps take ``with_row_number``.
+    """
+    return df.select(
+        F.concat_ws(
+            ":",
+            F.col("_metadata.file_path"),
+            F.col("_metadata.file_block_start").cast("string"),
+            F.monotonically_increasing_id().cast("string"),
+        ).alias(name),
+        *df.columns,
+    )
+
+
 def with_row_number(df: DataFrame, name: str = "pair_id") -> DataFrame:
     """Number the rows of a table just read from files: 0, 1, ... in path and file order.
 
     Each split is numbered where it is read, frozen by a write, and shifted by
-    the rows in the splits before it.
+    the rows in the splits before it. Splits are told by a short hash of their file
+    and start, so that the table of splits stays small.
     """
     rows = df.select(
         *df.columns,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_chunk"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    numbered = number_rows(durable(rows, "rows"), ["_file", "_start"], "_seq", name)
+    numbered = number_rows(durable(rows, "rows"), ["_file", "_start"], "_seq", name, by="_chunk")
     return numbered.select(name, *df.columns)
 
 

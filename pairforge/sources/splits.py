@@ -11,7 +11,6 @@ from pairforge.functions.text import clean_pairs_b
 from pairforge.operators.columns import map_columns
 from pairforge.operators.prune import filter_rows
 from pairforge.operators.ranking import first_n
-from pairforge.schema import PAIRS
 from pairforge.sources.readers import read_delimited, read_jsonl, with_row_number
 
 
@@ -24,17 +23,21 @@ def file_format(name: str) -> str | None:
 def load_splits(
     spark: SparkSession,
     files: Mapping[str, str],
-    schema: T.StructType | str = PAIRS,
+    schema: T.StructType | str | None = None,
     delimiter: str | None = None,
 ) -> dict[str, DataFrame]:
-    """One table per split. The format is taken from each file's own suffix."""
+    """One table per split. The format is taken from each file's own suffix.
+
+    All columns are kept, as the header or the JSON fields name them; a ``schema``
+    narrows them. Columns of csv files are text.
+    """
     if not files:
         raise ValueError("need at least one split")
     tables = {}
     for split, path in files.items():
         kind = file_format(path)
         if kind is None:
-            raise ValueError(f"{split} file should be a csv or a json file: {path}")
+            raise ValueError(f"cannot tell the format of {path} ({split}): neither csv nor json")
         if kind == "csv":
             tables[split] = read_delimited(spark, path, schema, delimiter or ",")
         else:
@@ -60,7 +63,8 @@ def prepare(
         # Cutting first reads the same rows: cleaning does not touch the key.
         limit = (max_rows or {}).get(name)
         if limit is not None:
-            df = first_n(df if key in df.columns else with_row_number(df, key), limit, key)
+            own = key in df.columns
+            df = first_n(df if own else with_row_number(df, key), limit, key, unique=not own)
         df = clean_pairs_b(df, remove_bad_chars=remove_bad_chars)
         df = filter_rows(df, predicate)
         prepared[name] = map_columns(df, mapping) if mapping else df

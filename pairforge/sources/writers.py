@@ -66,6 +66,6 @@ def write_splits(df: DataFrame, path: str, skip_existing: bool = False) -> None:
     )
 
 
-def write_report(report: DataFrame, path: str, skip_existing: bool = False) -> None:
-    """A metric report as CSV. A report is a handful of rows, so one file."""
-    report.coalesce(1).write.mode(_mode(skip_existing)).option("header", "true").csv(path)
+def write_report(report: DataFrame, path: str) -> None:
+    """A metric report as CSV, in place of an older one. A handful of rows, so one file."""
+    report.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)

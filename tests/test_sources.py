@@ -1,13 +1,15 @@
 import gzip
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from pairforge import runtime
 from pairforge.operators import columns, prune
 from pairforge.operators.align import drop_last, zip_lines
 from pairforge.plans import make_splits, parallel_text
-from pairforge.runtime import shared_dir
+from pairforge.runtime import durable, exists, fresh_path, scratch, shared_dir
 from pairforge.sources import readers, splits, writers
 
 XML = """<?xml version="1.0" encoding="utf-8"?>
@@ -52,7 +54,7 @@ def test_xml_without_labels(spark, xml):
     loose = readers.read_xml(spark, path, need_labels=False)
     good, bad = prune.split_by_labels(loose)
     assert good.count() == 6 and [r["id"] for r in bad.collect()] == ["7"]
-    with pytest.raises(Exception, match="for pair 7"):
+    with pytest.raises(Exception, match="its id is 7"):
         readers.read_xml(spark, path, need_labels=True).collect()
 
 
@@ -153,7 +155,7 @@ def test_split_suffixes(spark, tmp_path):
         spark, {"train": str(tmp_path / "t.jsonl.gz"), "validation": str(tmp_path / "v.csv")}, delimiter=";"
     )
     assert tables["train"].first() == ("a", "b") and tables["validation"].first() == ('c;"x"', "d")
-    with pytest.raises(ValueError, match="csv or a json"):
+    with pytest.raises(ValueError, match="neither csv nor json"):
         splits.load_splits(spark, {"test": "x.parquet"})
     with pytest.raises(ValueError):
         splits.load_splits(spark, {})
@@ -217,7 +219,7 @@ def test_columns(spark):
     df = spark.createDataFrame([("a", "b", "c")], "x string, y string, z string")
     assert columns.select_roles(df, None, None, None).columns == ["source", "target", "prediction"]
     assert columns.select_roles(df, "y", "x").first() == ("b", "a")
-    with pytest.raises(ValueError, match="needs to be one of"):
+    with pytest.raises(ValueError, match="no column"):
         columns.select_roles(df, "q")
     mapped = columns.map_columns(df, "n = concat(x, ';'); m = concat(n, y); ")
     assert mapped.first()["m"] == "a;b"
@@ -291,7 +293,7 @@ def test_json_without_a_schema_keeps_every_field(spark, tmp_path):
     path = tmp_path / "wide.jsonl"
     path.write_text('{"source": "a", "target": "007", "label": 1}\n{"target": "d", "source": "c", "label": 0}\n')
     df = readers.read_jsonl(spark, str(path), None)
-    assert sorted(map(tuple, df.select("source", "target", "label").collect())) == [("a", "007", "1"), ("c", "d", "0")]
+    assert sorted(map(tuple, df.select("source", "target", "label").collect())) == [("a", "007", 1), ("c", "d", 0)]
 
 
 @pytest.fixture
@@ -334,3 +336,76 @@ def test_predictions_on_one_line_are_read_by_many_tasks(spark, tmp_path, small_s
     back = readers.read_delimited(spark, str(tmp_path / "lines"), one_line=True)
     assert back.rdd.getNumPartitions() > 4
     assert sorted(map(tuple, back.collect())) == sorted((t, t[::-1], t) for t in texts)
+
+
+def jobs_started(spark, run):
+    """How many Spark jobs a function starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_a_second_run_starts_no_job(spark, tmp_path):
+    path, out = tmp_path / "in.jsonl", str(tmp_path / "out")
+    path.write_text("".join(json.dumps({"source": f"s{i}", "target": "t", "label": i % 2}) + "\n" for i in range(30)))
+    assert jobs_started(spark, lambda: make_splits.run(spark, str(path), out, 10)) > 0
+    assert jobs_started(spark, lambda: make_splits.run(spark, str(path), out, 10)) == 0
+    # All columns of the input and no others are written.
+    assert set(spark.read.json(out).columns) == {"source", "target", "label", "split"}
+
+    (tmp_path / "en").write_text("a b\nc d\nx\n")
+    (tmp_path / "pt").write_text("um\ndois\ny\n")
+    arguments = (spark, str(tmp_path / "en"), str(tmp_path / "pt"), str(tmp_path / "text"), lambda: lambda t: t)
+    assert jobs_started(spark, lambda: parallel_text.run(*arguments)) > 0
+    assert jobs_started(spark, lambda: parallel_text.run(*arguments)) == 0
+
+
+def test_jobs_leave_nothing_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    (tmp_path / "en").write_text("a b\nc d\nx\n")
+    (tmp_path / "pt").write_text("um\ndois\ny\n")
+    parallel_text.run(spark, str(tmp_path / "en"), str(tmp_path / "pt"), str(tmp_path / "text"), lambda: lambda t: t)
+    assert readers.read_jsonl(spark, str(tmp_path / "text")).count() == 2
+    assert [p for p in (tmp_path / "shared").rglob("*") if p.is_file()] == []
+    with scratch(spark):
+        held = durable(spark.range(3))
+        assert held.count() == 3
+    kept = durable(spark.range(3))
+    assert kept.count() == 3 and len(list((tmp_path / "shared" / "pairforge").iterdir())) == 1
+
+
+def test_existing_paths(spark, tmp_path):
+    assert exists(spark, str(tmp_path)) and not exists(spark, str(tmp_path / "none"))
+    assert not exists(spark, fresh_path(spark, "new"))
+
+
+def test_row_keys_are_unique_and_stay(spark, tmp_path, small_splits):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"source": f"{name}{i}" * 9, "target": "x"}) + "\n" for i in range(900)))
+    df = readers.with_row_key(readers.read_jsonl(spark, str(tmp_path)))
+    assert df.select("pair_id").distinct().count() == 1800
+    once, again = (dict(map(tuple, df.select("pair_id", "source").collect())) for _ in range(2))
+    assert once == again
+    assert {r[0] for r in df.filter("source like 'a1%'").select("pair_id").collect()} <= set(once)
+
+
+def test_splits_keep_every_column(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("label,source,target\n1,a,b\n0,c,d\n")
+    (tmp_path / "v.json").write_text('{"label": 1, "source": "a", "target": "b"}\n{"label": 0, "source": "c", "target": "d"}\n')
+    with gzip.open(tmp_path / "w.csv.gz", "wt") as out:
+        out.write("source,target,label\na,b,1\nc,d,0\n")
+    loaded = splits.load_splits(spark, {"train": str(tmp_path / "t.csv"), "validation": str(tmp_path / "v.json"), "test": str(tmp_path / "w.csv.gz")})
+    for df in splits.prepare(loaded, predicate="label = 1", mapping="note = 'a; b'").values():
+        assert [(r["source"], r["target"], r["note"]) for r in df.collect()] == [("a", "b", "a; b")]
+
+
+def test_an_open_quote_in_a_mapping_fails(spark):
+    df = spark.range(1)
+    for mapping in ("a = 'x", 'a = "x; b = 1', "a = 'x\\'"):
+        with pytest.raises(ValueError, match="not closed"):
+            columns.map_columns(df, mapping)
+    assert columns.map_columns(df, "a = 'x;'; b = a; ").first()["b"] == "x;"
