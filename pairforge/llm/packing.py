@@ -25,7 +25,7 @@ from pairforge.llm.common import slices, utf8
 
 LONGEST = 2048
 END = 1
-CACHED_WORDS = 400_000  # encoded words a worker keeps, the first it meets
+CACHED_WORDS = 600_000  # encoded words a worker keeps, the first it meets
 CACHED_BYTES = 64  # longer words are encoded anew
 
 PIECES = T.StructType(
