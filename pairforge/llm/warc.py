@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import utf8
+from pairforge.runtime import durable
 
 REVISIT_BYTES = 1000
 CHUNK_BYTES = 1 << 18
@@ -289,7 +290,12 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Records with the size of what a revisit refers to, and that page's id."""
+    """Records with the size of what a revisit refers to, and that page's id.
+
+    The records are looked at three times, so they are written down once; they hold no
+    payloads.
+    """
+    records = durable(records, "records")
     kept = (
         records.filter("type = 'response'")
         .groupBy(F.reverse("record").alias("_k"))
