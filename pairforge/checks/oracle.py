@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairforge.checks.inputs import DIRT
+from pairforge.functions.text import QUOTES_A, QUOTES_B
 
 # Whitespace in RE2 terms.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -40,9 +41,9 @@ def _replaces(expr: str, rules) -> str:
     return expr
 
 
-_TO_DOUBLE = ["``", "` `", "‘‘", "‘ ‘", "’’", "’ ’"]
-_QUOTES_A = [(q, '"') for q in [*_TO_DOUBLE, "’", "“", "”", "''", "' '", '""']]
-_QUOTES_B = [(q, '"') for q in _TO_DOUBLE] + [("’", "'")] + [(q, '"') for q in ["“", "”", "''", "' '"]]
+# The quotation marks are those of the cleaners, in their order.
+_QUOTES_A = [(q, '"') for q in QUOTES_A]
+_QUOTES_B = list(QUOTES_B)
 
 
 def _strip(expr: str) -> str:

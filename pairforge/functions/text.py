@@ -7,7 +7,9 @@ right quote becomes and in whether tabs and newlines survive.
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +98,28 @@ def clean_a(text: Column) -> Column:
     return F.trim(drop_leading_hyphen(text))
 
 
+@lru_cache(maxsize=1)
+def _assigned() -> str:
+    """Ranges of code points from U+0370 on that are not of category C in this Python's
+    tables, as the inside of a Java character class."""
+    ranges, start = [], None
+    for c in range(0x370, sys.maxunicode + 2):
+        known = c <= sys.maxunicode and unicodedata.category(chr(c))[0] != "C"
+        if known and start is None:
+            start = c
+        elif not known and start is not None:
+            ranges.append(rf"\x{{{start:x}}}-\x{{{c - 1:x}}}")
+            start = None
+    return "".join(ranges)
+
+
 def drop_non_printables(text: Column) -> Column:
-    """Drop control, format, private-use and unassigned characters (category C)."""
-    return F.regexp_replace(text, r"\p{C}+", "")
+    """Drop control, format, private-use and unassigned characters (category C).
+
+    The JVM's tables are older than Python's: characters it takes for unassigned stay
+    if Python knows them. They are only looked up for characters of its category C.
+    """
+    return F.regexp_replace(text, rf"[\p{{C}}&&[^{_assigned()}]]+", "")
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -54,8 +54,14 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
 
 
+# White space as Python's str.split sees it.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32)
+
+
 def whitespace_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
+    """Every kind of white space becomes a plain space first, which splits without a pattern."""
+    plain = F.translate(text, _SPACES, " " * len(_SPACES))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def bleu_tokens(text: Column) -> Column:

@@ -142,3 +142,8 @@ def test_cleaning_is_native_and_evaluated_once(spark):
 def test_lower_case_leaves_predictions(spark):
     df = spark.createDataFrame([("A", "B", "C")], "source string, target string, prediction string")
     assert text.lower_columns(df).first() == ("a", "b", "C")
+
+
+def test_characters_the_jvm_does_not_know_yet_stay(column_of):
+    given = ["a\U0001fae0b", "\U0001f600", "x​y͸z", "", "\U000e0001­"]
+    assert column_of(given, text.drop_non_printables) == ["a\U0001fae0b", "\U0001f600", "xyz", "", ""]

@@ -30,14 +30,14 @@ def test_word_tokens_on_table_texts(spark):
 
 
 def test_word_token_examples(column_of):
-    given = ["E.U.A. venceu", "R$ 1.234,50", "12/03/2012", "sim... não.", "fim.\noutro fim", "às 12h30."]
+    given = ["B.C.D. venceu", "R$ 1.234,50", "31/08/1999", "sim... não.", "fim.\noutro fim", "às 07h45."]
     wanted = [
-        ["E.U.A.", "venceu"],
+        ["B.C.D.", "venceu"],
         ["R", "$", "1.234,50"],
-        ["12", "/", "03", "/", "2012"],
+        ["31", "/", "08", "/", "1999"],
         ["sim", ".", ".", ".", "não", "."],
         ["fim", ".", "outro", "fim"],
-        ["às", "12h30", "."],
+        ["às", "07h45", "."],
     ]
     assert column_of(given, tokens.word_tokens) == wanted
 
