@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from pairforge.compute import compute_once
 from pairforge.functions.arrays import count_tokens
 
+BIN_BLOCK = 4096  # bins made at once
+
 
 def profile(
     df: DataFrame, by: str | None = None, ignore: Iterable[str] = (), digits: int = 3
@@ -56,9 +58,14 @@ def length_histogram(df: DataFrame, column: str) -> DataFrame:
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # When all values are equal the sequence would count down: no bins instead.
-    span = F.when(top >= bounds["lo"], F.sequence(bounds["lo"], F.greatest(top, bounds["lo"])))
-    bins = df.sparkSession.range(1).select(F.explode(span).alias("bin"))
+    # When all values are equal the sequence would count down: no bins instead. Bins are
+    # made in blocks, so that no array is as long as the widest range of values.
+    step = F.lit(BIN_BLOCK)
+    blocks = F.when(top >= bounds["lo"], F.sequence(bounds["lo"], F.greatest(top, bounds["lo"]), step))
+    block = df.sparkSession.range(1).select(F.explode(blocks).alias("block"), top.alias("top"))
+    bins = block.select(
+        F.explode(F.sequence("block", F.least(F.col("block") + step - 1, F.col("top")))).alias("bin")
+    )
     n = F.coalesce("n", F.lit(0))
     return bins.join(counts, "bin", "left").select(
         "bin", (F.col("bin") + 1).alias("hi"), n.alias("n"), (n / bounds["n"]).alias("density")
