@@ -117,7 +117,7 @@ def main(arguments: list[str] | None = None) -> None:
         profile_corpora.run(spark, corpora, a.output_path, a.sample)
         spark.read.json(f"{a.output_path}/means").show(truncate=False)
     elif a.job == "generate":
-        generate.run_generate(
+        generate.prepare_and_generate(
             spark, a.output_path, a.model,
             file=a.file, dataset=a.dataset, config=a.config, split=a.split,
             delimiter=a.delimiter, remove_bad_chars=a.remove_bad_chars,

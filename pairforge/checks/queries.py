@@ -737,7 +737,7 @@ def generate_job(spark, sf_dir):
     rows = dirty_pairs(spark, sf_dir).select("pair_id", "source", "target", "conv_id")
     given, made = fresh_path(spark, "given") + ".jsonl", fresh_path(spark, "made")
     writers.write_jsonl(rows, given)
-    generate.run_generate(
+    generate.prepare_and_generate(
         spark,
         made,
         lambda: lambda texts: [f" {t.replace('e', 'E')}\n" for t in texts],

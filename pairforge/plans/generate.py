@@ -93,6 +93,12 @@ def score(
 
 
 def run_generate(
+    spark: SparkSession, df: DataFrame, load: Callable, output_path: str, **options
+) -> None:
+    write_predictions(generate(df, load, **options), output_path)
+
+
+def prepare_and_generate(
     spark: SparkSession,
     output_path: str,
     load: Callable,
@@ -123,7 +129,7 @@ def run_generate(
             rows = read_named(spark, dataset, config, split)
         limits = {"test": max_samples} if max_samples is not None else None
         ready = prepare({"test": rows}, remove_bad_chars, limits, predicate, mapping)["test"]
-        write_predictions(generate(ready, load, **options), output_path)
+        run_generate(spark, ready, load, output_path, **options)
 
 
 def run_score(
