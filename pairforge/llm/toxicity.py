@@ -28,8 +28,8 @@ from pairforge.runtime import durable
 SAMPLE_PER_CLASS = 6_000  # labelled documents a fit uses, for each label
 ENTRIES = 300  # lexicon entries kept at most
 STEMS = (4, 5, 6)  # lengths of the word beginnings that may become entries
-LEAST_DOCS = 8  # toxic sample documents that must hold an entry
-SUREST = 2.0  # log-odds an entry must reach after 1.5 standard errors are taken off
+LEAST_DOCS = 4  # toxic sample documents that must hold an entry
+SUREST = 1.8  # log-odds an entry must reach after 1.5 standard errors are taken off
 
 # Look-alike letters of other scripts, digits and signs read as letters, and
 # characters nobody sees. Extend per call through ``Folding``.
@@ -221,7 +221,7 @@ def fit(
     rows = other.toPandas()  # at most the sample
     if rows["y"].nunique() < 2:
         return lexicon
-    w = fit_logistic(rows[["a", "b"]].to_numpy(), rows["y"].to_numpy())
+    w = fit_logistic(rows[["a", "b"]].to_numpy(), rows["y"].to_numpy(), l2=1e-4)
     # The sample is even over classes, the corpus is not.
     n1, n0 = int((rows["y"] == 1).sum()), int((rows["y"] == 0).sum())
     w[-1] += np.log(prior[1] / prior[0]) - np.log(n1 / n0)
