@@ -165,3 +165,52 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, labels)).select(
         "doc_id", is_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted"
     )
+
+
+_REACH = """
+reach AS (SELECT id AS x, id AS y FROM nodes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+component AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
+"""
+
+ORACLE["op2_embeddings"] = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+{_REACH}
+SELECT n.id AS vec_id, count(l.y) AS n_links, c.component_id, n.id = c.component_id AS kept
+FROM nodes n JOIN component c ON n.id = c.id LEFT JOIN links l ON n.id = l.x GROUP BY n.id, c.component_id
+"""
+
+ORACLE["op3_minhash"] = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+nodes AS (SELECT doc_id AS id FROM documents),
+both_have AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT x, y FROM both_have JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+    WHERE 100 * c >= 85 * (a.n + b.n - c)
+),
+{_REACH}
+SELECT d.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.id = c.component_id AS kept
+FROM nodes d JOIN component c ON d.id = c.id LEFT JOIN n ON n.doc_id = d.id
+"""
