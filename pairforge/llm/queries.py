@@ -121,7 +121,7 @@ def op3_minhash(spark, sf_dir):
 
 @query
 def op1_substrings(spark, sf_dir):
-    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
+    return substrings.repeated_passages(table(spark, sf_dir, "documents")).drop("row")
 
 
 @query

@@ -1,6 +1,13 @@
 """Passages that occur more than once: all but the earliest occurrence go.
 
-A text is cut into units: lines, and inside them groups of sentences. A sentence
+``repeated_passages`` finds every one. Of each run of 25 words the seed of 8 words with the
+least hash is picked, so equal runs pick equal seeds; about one seed in ten words is
+stored. Runs whose seed occurs twice, and no others, are then grouped by a 96-bit digest,
+so the result is that of comparing all runs of all texts. Texts equal to the byte are
+compared once. Runs are laid together by word numbers.
+
+``repeated_spans`` is the older, coarser way over units; it may leave the ends of a passage, or a short
+one, where it is. A text is cut into units: lines, and inside them groups of sentences. A sentence
 begins after ``.!?`` or at a capitalised word, so that a passage pasted into another
 sentence begins one, and opens a unit if a hash picks its first word; long units are
 cut further before words picked alike. Such cuts depend on the words beside them
@@ -22,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -30,9 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.common import slices
+from pairforge.llm.minhash import _mix
 from pairforge.runtime import durable
 
 WINDOW_WORDS = 8
+SEED_WORDS = 8
 LEAST_WORDS = 25
 OPENING_WORDS = 2  # one first word in so many lets a sentence open a unit
 LONG_UNIT = 25  # longer units are cut further
@@ -217,6 +227,242 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, window_words
     )
 
 
+# --- every repeated passage, exactly ------------------------------------------------
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_HASHES = _WordHashes()
+
+
+def _picked(words: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all seeds (runs of a few words), and the seed picked for each run of ``least`` words.
+
+    The pick is the least hash inside the run, so equal runs pick equal seeds wherever they stand.
+    """
+    k = min(SEED_WORDS, least)
+    n = len(words) - k + 1
+    h = np.fromiter((_HASHES[w] for w in words), np.uint64, len(words))
+    seeds = np.zeros(n, np.uint64)
+    for j in range(k):
+        seeds *= np.uint64(0x9E3779B97F4A7C15)
+        seeds += h[j : j + n]
+    seeds = _mix(seeds)
+    runs = np.lib.stride_tricks.sliding_window_view(seeds, least - k + 1)
+    return seeds, runs.argmin(axis=1) + np.arange(len(runs))
+
+
+FEATURES = T.StructType(
+    [
+        T.StructField("row", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("key", T.BinaryType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("n_words", T.IntegerType()),
+        T.StructField("seeds", T.ArrayType(T.LongType())),
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+GRAMS = T.StructType(
+    [
+        T.StructField("high", T.LongType()),
+        T.StructField("low", T.IntegerType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("word", T.IntegerType()),
+        T.StructField("words", T.IntegerType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+    ]
+)
+
+
+def _text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")
+
+
+def _features(docs: DataFrame, least: int) -> DataFrame:
+    """Seeds of every text that holds a word, written so that ``row`` stays as it is."""
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            columns: list[list] = [[] for _ in FEATURES]
+            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = text.lower().split() if text else []
+                if words:
+                    seeds, places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    if len(words) >= least:
+                        seeds, picked = _picked(words, least)
+                        places = np.unique(picked)
+                        seeds = seeds[places]
+                    start, end = len(text) - len(text.lstrip()), len(text.rstrip())
+                    values = (row, doc_id, key, start, end, len(words), seeds.view(np.int64), places.astype(np.int32))
+                    for column, value in zip(columns, values, strict=True):
+                        column.append(value)
+                row += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, _FEATURE_TYPES, strict=True)], FEATURES.names
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
+    return durable(rows.mapInArrow(run, FEATURES), "seeds")
+
+
+_FEATURE_TYPES = [
+    pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())
+]
+
+
+def _gram_table(texts: DataFrame, least: int) -> DataFrame:
+    """Runs of ``least`` words whose seed is in ``places``, for texts (doc_id, row, text, places)."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            columns: list[list] = [[] for _ in GRAMS]
+            high, low, ids, rows, firsts, counts, starts, ends = columns
+            for doc_id, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.lower().split()
+                at = [m.span() for m in _WORD.finditer(text)]
+                begins: list[tuple[int, int]] = []
+                if len(words) >= least:
+                    _, picked = _picked(words, least)
+                    begins += [(i, least) for i in np.flatnonzero(np.isin(picked, places)).tolist()]
+                for i, n in begins:
+                    digest = xxhash.xxh3_128_intdigest(" ".join(words[i : i + n]))
+                    high.append(digest >> 64)
+                    low.append(digest & 0xFFFFFFFF)
+                    ids.append(doc_id)
+                    rows.append(row)
+                    firsts.append(i)
+                    counts.append(n)
+                    starts.append(at[i][0])
+                    ends.append(at[i + n - 1][1])
+            types = [pa.uint64(), pa.uint32(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            arrays[:2] = arrays[0].view(pa.int64()), arrays[1].view(pa.int32())
+            yield pa.RecordBatch.from_arrays(arrays, GRAMS.names)
+
+    return durable(texts.select("doc_id", "row", "text", "places").mapInArrow(run, GRAMS), "grams")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(row, doc_id, start, end, n_words, kept_doc_id, kept_start): every repeated passage, whole.
+
+    A word is repeated if a run of ``least_words`` words around it stands earlier by
+    (doc_id, row, place); repeated words side by side make a span. Only a text that
+    repeats itself with an overlap has shorter spans, as the part that is kept stays whole.
+    """
+    found = _features(docs, least_words)
+    # Equal texts are one class; its earliest text stands for it.
+    last = F.lit(2**63 - 1)
+    classes = durable(
+        found.groupBy("key")
+        .agg(
+            F.min(F.struct(F.coalesce("doc_id", last).alias("rank"), "row", "doc_id")).alias("lead"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("seeds").alias("seeds"),
+            F.first("places").alias("places"),
+        )
+        .select("key", "lead.row", "lead.doc_id", "copies", "seeds", "places"),
+        "classes",
+    )
+    seeds = classes.select("key", "row", "doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
+        "key", "row", "doc_id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")
+    )
+    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marked = (
+        seeds.withColumn("_k", F.bitwise_not("seed"))
+        .join(twice.select(F.bitwise_not("seed").alias("_k")), "_k")
+        .groupBy("key")
+        .agg(F.first("row").alias("row"), F.first("doc_id").alias("doc_id"), F.collect_list("place").alias("places"))
+    )
+    texts = docs.select(_text_key(), "text").filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
+    grams = _gram_table(texts.join(marked, "key"), least_words)
+    place = F.struct(F.coalesce("doc_id", last).alias("rank"), "row", "word", "words", "start", "end", "doc_id")
+    kept = (
+        grams.groupBy("high", "low")
+        .agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"), "kept")
+    )
+    own = F.col("row") == F.col("kept.row")
+    later = (
+        grams.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")})
+        .join(kept, ["_high", "_low"])
+        .filter(~(own & (F.col("word") == F.col("kept.word"))))
+        # A run that overlaps the one kept in its own text leaves that one whole.
+        .select(
+            "row",
+            "doc_id",
+            F.when(own, F.greatest("word", F.col("kept.word") + F.col("kept.words"))).otherwise(F.col("word")).alias("word"),
+            (F.col("word") + F.col("words")).alias("stop"),
+            F.when(own, F.greatest("start", "kept.end")).otherwise(F.col("start")).alias("start"),
+            "end",
+            F.col("kept.doc_id").alias("kept_doc_id"),
+            F.col("kept.start").alias("kept_start"),
+        )
+        .filter("word < stop")
+    )
+    by_row = Window.partitionBy("row").orderBy("word", "stop")
+    reach = F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    opened = later.withColumn("_new", F.coalesce((F.col("word") > reach).cast("int"), F.lit(1)))
+    spans = durable(
+        opened.withColumn("_span", F.sum("_new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("row", "_span")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.min("word").alias("word"),
+            F.max("stop").alias("stop"),
+            F.min(F.struct("word", "kept_doc_id", "kept_start")).alias("first"),
+        )
+        .select(
+            "row",
+            "doc_id",
+            "word",
+            F.col("start").cast("long").alias("start"),
+            F.col("end").cast("long").alias("end"),
+            (F.col("stop") - F.col("word")).cast("long").alias("n_words"),
+            "first.kept_doc_id",
+            F.col("first.kept_start").cast("long").alias("kept_start"),
+        ),
+        "spans",
+    )
+    # Other texts of a class are repeated whole, and kept where their earliest is.
+    begun = spans.filter("word = 0").select(
+        F.col("row").alias("lead"), F.lit(True).alias("moved"), F.col("kept_doc_id").alias("_id"), F.col("kept_start").alias("_at")
+    )
+    several = classes.filter("copies > 1").select(
+        F.reverse("key").alias("_k"), F.col("row").alias("lead"), F.col("doc_id").alias("lead_id")
+    )
+    kept_whole = several.join(begun, "lead", "left")
+    copies = (
+        found.withColumn("_k", F.reverse("key"))
+        .join(kept_whole, "_k")
+        .filter((F.col("row") != F.col("lead")) & (F.col("n_words") >= least_words))
+        .select(
+            "row",
+            "doc_id",
+            F.col("start").cast("long").alias("start"),
+            F.col("end").cast("long").alias("end"),
+            F.col("n_words").cast("long").alias("n_words"),
+            F.when(F.col("moved"), F.col("_id")).otherwise(F.col("lead_id")).alias("kept_doc_id"),
+            F.when(F.col("moved"), F.col("_at")).otherwise(F.col("start").cast("long")).alias("kept_start"),
+        )
+    )
+    return spans.drop("word").unionByName(copies)
+
+
 def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the given spans."""
     if not text or not spans:
