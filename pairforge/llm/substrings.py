@@ -165,7 +165,12 @@ def _rank() -> Column:
     """Where a window stands: null ids last, then by row and place."""
     last = F.lit(2**63 - 1)
     return F.struct(
-        F.coalesce("doc_id", last).alias("rank"), F.col("row"), F.col("start"), F.col("end"), F.col("doc_id")
+        F.coalesce("doc_id", last).alias("rank"),
+        F.col("row"),
+        F.col("start"),
+        F.col("end"),
+        F.col("doc_id"),
+        (F.col("word") + F.col("words")).alias("stop"),
     )
 
 
@@ -199,11 +204,15 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, window_words
             F.when(F.col("row") == F.col("kept.row"), F.greatest("start", "kept.end")).otherwise(F.col("start")),
         )
         .filter(F.col("from") < F.col("end"))
+        .withColumn(
+            "from_word",
+            F.when(F.col("row") == F.col("kept.row"), F.greatest("word", "kept.stop")).otherwise(F.col("word")),
+        )
     )
     by_row = Window.partitionBy("row").orderBy("from", "end")
-    reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    # One white-space character or two lie between neighbouring units.
-    opened = later.withColumn("_new", F.coalesce((F.col("from") > reach + 2).cast("int"), F.lit(1)))
+    reach = F.max(F.col("word") + F.col("words")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    # Whatever white space lies between neighbouring units, their words are next to each other.
+    opened = later.withColumn("_new", F.coalesce((F.col("from_word") > reach).cast("int"), F.lit(1)))
     spans = opened.withColumn("_span", F.sum("_new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
     return (
         spans.groupBy("row", "_span")

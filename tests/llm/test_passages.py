@@ -84,3 +84,16 @@ def test_passages_of_repeated_rows_and_null_ids(documents):
     got = substrings.repeated_passages(documents([(3, text), (3, text), (None, text)], parts=1)).collect()
     assert sorted((str(r.doc_id), r.kept_doc_id, r.n_words) for r in got) == [("3", 3, 80), ("None", 3, 80)]
     assert substrings.repeated_passages(documents([])).collect() == []
+
+
+@pytest.mark.parametrize("gap", ["\r\n\r\n", "\n\n\n", "\n        ", ".     "])
+def test_wide_white_space_does_not_part_a_passage(documents, gap):
+    rng = random.Random(8)
+    passage = gap.join(" ".join(words(rng, 15, 10**6)) for _ in range(4))
+    rows = [(i, gap.join([" ".join(words(rng, 12, 10**6)), passage, " ".join(words(rng, 12, 10**6))])) for i in range(3)]
+    begin = {i: (t.index(passage), t.index(passage) + len(passage + gap.rstrip())) for i, t in rows}
+    whole = found(documents(rows), dict(rows))
+    assert {(i, s, e) for i, s, e, _ in whole} == {(i, *begin[i]) for i in (1, 2)}
+    if "\n" in gap:  # lines are units
+        coarse = substrings.repeated_spans(documents(rows)).collect()
+        assert {(r.doc_id, r.start, r.end) for r in coarse} == {(i, *begin[i]) for i in (1, 2)}
