@@ -4,7 +4,8 @@
 least hash is picked, so equal runs pick equal seeds; about one seed in ten words is
 stored. Runs whose seed occurs twice, and no others, are then grouped by a 96-bit digest,
 so the result is that of comparing all runs of all texts. Texts equal to the byte are
-compared once. Runs are laid together by word numbers.
+compared once. Runs are laid together by word numbers. A whole line that stands earlier
+is repeated at any length, so headings, footers and short texts count too.
 
 ``repeated_spans`` is the older, coarser way over units; it may leave the ends of a passage, or a short
 one, where it is. A text is cut into units: lines, and inside them groups of sentences. A sentence
@@ -43,6 +44,7 @@ from pairforge.runtime import durable
 
 WINDOW_WORDS = 8
 SEED_WORDS = 8
+LEAST_LINE_WORDS = 1  # a whole line that stands earlier is repeated from so many words on
 LEAST_WORDS = 25
 OPENING_WORDS = 2  # one first word in so many lets a sentence open a unit
 LONG_UNIT = 25  # longer units are cut further
@@ -267,6 +269,17 @@ def _picked(words: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds, runs.argmin(axis=1) + np.arange(len(runs))
 
 
+def _lines(text: str, most: int) -> list[tuple[int, int]]:
+    """(first word, words) of every line of one to ``most`` words."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        n = len(line.split())
+        if 0 < n <= most:
+            out.append((at, n))
+        at += n
+    return out
+
+
 FEATURES = T.StructType(
     [
         T.StructField("row", T.LongType()),
@@ -298,8 +311,11 @@ def _text_key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary"))).alias("key")
 
 
-def _features(docs: DataFrame, least: int) -> DataFrame:
-    """Seeds of every text that holds a word, written so that ``row`` stays as it is."""
+def _features(docs: DataFrame, least: int, least_line: int) -> DataFrame:
+    """Seeds of every text that holds a word, written so that ``row`` stays as it is.
+
+    Places are first words. A line too short for a run is a seed of its own, at -1 - first word.
+    """
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
@@ -313,6 +329,11 @@ def _features(docs: DataFrame, least: int) -> DataFrame:
                         seeds, picked = _picked(words, least)
                         places = np.unique(picked)
                         seeds = seeds[places]
+                    lines = [x for x in _lines(text, least - 1) if x[1] >= least_line]
+                    if lines:
+                        whole = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + n])) for i, n in lines]
+                        seeds = np.concatenate([seeds, np.array(whole, np.uint64)])
+                        places = np.concatenate([places, [-1 - i for i, _ in lines]])
                     start, end = len(text) - len(text.lstrip()), len(text.rstrip())
                     values = (row, doc_id, key, start, end, len(words), seeds.view(np.int64), places.astype(np.int32))
                     for column, value in zip(columns, values, strict=True):
@@ -332,7 +353,7 @@ _FEATURE_TYPES = [
 
 
 def _gram_table(texts: DataFrame, least: int) -> DataFrame:
-    """Runs of ``least`` words whose seed is in ``places``, for texts (doc_id, row, text, places)."""
+    """Runs of ``least`` words and lines whose seed is in ``places``, for texts (doc_id, row, text, places)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -341,7 +362,8 @@ def _gram_table(texts: DataFrame, least: int) -> DataFrame:
             for doc_id, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = text.lower().split()
                 at = [m.span() for m in _WORD.finditer(text)]
-                begins: list[tuple[int, int]] = []
+                marked = set(places)
+                begins = [x for x in _lines(text, least - 1) if -1 - x[0] in marked]
                 if len(words) >= least:
                     _, picked = _picked(words, least)
                     begins += [(i, least) for i in np.flatnonzero(np.isin(picked, places)).tolist()]
@@ -363,14 +385,18 @@ def _gram_table(texts: DataFrame, least: int) -> DataFrame:
     return durable(texts.select("doc_id", "row", "text", "places").mapInArrow(run, GRAMS), "grams")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, least_words: int = LEAST_WORDS, least_line_words: int = LEAST_LINE_WORDS
+) -> DataFrame:
     """(row, doc_id, start, end, n_words, kept_doc_id, kept_start): every repeated passage, whole.
 
     A word is repeated if a run of ``least_words`` words around it stands earlier by
-    (doc_id, row, place); repeated words side by side make a span. Only a text that
-    repeats itself with an overlap has shorter spans, as the part that is kept stays whole.
+    (doc_id, row, place), or if its whole line (or whole text, equal to the byte) of
+    ``least_line_words`` words or more does;
+    repeated words side by side make a span. Where a text repeats itself with an overlap,
+    the part that is kept stays whole. Equal short texts are equal lines.
     """
-    found = _features(docs, least_words)
+    found = _features(docs, least_words, least_line_words)
     # Equal texts are one class; its earliest text stands for it.
     last = F.lit(2**63 - 1)
     classes = durable(
@@ -458,7 +484,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     copies = (
         found.withColumn("_k", F.reverse("key"))
         .join(kept_whole, "_k")
-        .filter((F.col("row") != F.col("lead")) & (F.col("n_words") >= least_words))
+        .filter((F.col("row") != F.col("lead")) & (F.col("n_words") >= min(least_words, least_line_words)))
         .select(
             "row",
             "doc_id",

@@ -13,10 +13,16 @@ def words(rng, n, kinds=3000):
 
 
 def units_of(text, least):
-    """(normalised words, first word, char spans of all words) of every run."""
+    """Char spans of all words; (normalised words, first word) of every run and shorter line."""
     at = [m.span() for m in re.finditer(r"\S+", text)]
     w = [text[s:e].lower() for s, e in at]
-    return at, [(tuple(w[i : i + least]), i) for i in range(len(w) - least + 1)]
+    out, i = [(tuple(w[i : i + least]), i) for i in range(len(w) - least + 1)], 0
+    for line in text.split("\n"):
+        n = len(line.split())
+        if 0 < n < least:
+            out.append((tuple(w[i : i + n]), i))
+        i += n
+    return at, out
 
 
 def plain(rows, least=substrings.LEAST_WORDS):
@@ -97,3 +103,15 @@ def test_wide_white_space_does_not_part_a_passage(documents, gap):
     if "\n" in gap:  # lines are units
         coarse = substrings.repeated_spans(documents(rows)).collect()
         assert {(r.doc_id, r.start, r.end) for r in coarse} == {(i, *begin[i]) for i in (1, 2)}
+
+
+def test_whole_lines_and_short_texts_are_repeated_at_any_length(documents):
+    rng = random.Random(4)
+    footer, three = " ".join(words(rng, 12)), "see also below"
+    rows = [(i, "\n".join([" ".join(words(rng, 30, 10**6)), "  " + (footer.upper() if i == 2 else footer) + " ", " ".join(words(rng, 9, 10**6))])) for i in range(4)]
+    rows += [(10, "a short text"), (11, "A short  text\n"), (12, "a short text"), (13, "one a short text"), (20, three + "\nz1 z2"), (21, "y1\n" + three)]
+    got = found(documents(rows), dict(rows))
+    assert got == plain(rows)
+    assert {(i, n) for i, _, _, n in got} == {(1, 12), (2, 12), (3, 12), (11, 3), (12, 3), (21, 3)}
+    long = substrings.repeated_passages(documents(rows), least_line_words=10).collect()
+    assert {(r.doc_id, r.n_words) for r in long} == {(1, 12), (2, 12), (3, 12)}
