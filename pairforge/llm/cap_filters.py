@@ -4,8 +4,9 @@ Filter directions form a structured random product code: the space is turned by
 random rotation and cut into two parts, each part has a small codebook, and one code
 word of each part makes a direction. A vector is decoded to the list of all
 directions whose cap it lies in, by extending partial sums and leaving out those
-that cannot reach the threshold any more. Three rotations make three such codes; at
-a cosine of 0.93 they brought 99.9 % of random pairs together. Vectors meet under (label, direction) and
+that cannot reach the threshold any more. Several rotations make as many such codes;
+their number follows from how often one code parts random pairs at the threshold, so
+that all of them do with a chance of ``MISS`` at most, at every code size. Vectors meet under (label, direction) and
 are verified by their cosine in double precision.
 
 Equal vectors of one label are one node that counts its copies. A bucket of any size
@@ -39,7 +40,9 @@ from pairforge.runtime import durable
 SIMILAR = 0.93
 PARTS = 2
 CODES = 64  # code words in each part at least, a power of two
-ROTATIONS = 3  # codes of their own, so that a pair missed by one is met in another
+ROTATIONS = 3  # codes of their own at least, so that a pair missed by one is met in another
+MISS = 1e-4  # chance that a pair at the threshold is missed by all codes
+TRIALS = 1000  # random pairs that one code is tried on
 CAPS = 10.0  # caps of a code an average vector lies in
 LEAST_CAPS = 6  # a vector in fewer caps of a code takes its nearest directions
 BLOCK = 128
@@ -54,7 +57,7 @@ def codes_for(rows: int) -> int:
     return codes
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=128)
 def _code(dims: int, codes: int, rotation: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], float]:
     """Rotation, places of each part, its code words, and the threshold."""
     rng = np.random.default_rng([SEED, dims, codes, rotation])
@@ -90,9 +93,33 @@ def _decode_one(unit: np.ndarray, codes: int, rotation: int) -> tuple[np.ndarray
     return owner[good], number[good] + rotation * codes**PARTS
 
 
-def decode(unit: np.ndarray, codes: int = CODES) -> list[np.ndarray]:
+@lru_cache(maxsize=64)
+def rotations(dims: int, codes: int, similar: float = SIMILAR) -> int:
+    """How many codes keep the chance of missing a pair at ``similar`` at ``MISS`` or below.
+
+    One code is tried on random pairs at that cosine; its share of misses, with three standard
+    errors on top, is raised to the number of codes. A share above nine in ten counts as that.
+    """
+    if dims < 2:
+        return ROTATIONS
+    rng = np.random.default_rng([SEED, dims, codes])
+    x = rng.standard_normal((TRIALS, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = similar * x + np.sqrt(max(0.0, 1 - similar**2)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = 0
+    for at in range(0, TRIALS, 250):
+        (i, a), (j, b) = (_decode_one(v[at : at + 250], codes, 0) for v in (x, y))
+        met += len(np.unique(np.intersect1d(i * codes**PARTS + a, j * codes**PARTS + b) // codes**PARTS))
+    share = 1 - met / TRIALS
+    share = min(0.9, share + 3 * np.sqrt(max(share * (1 - share), 1 / TRIALS) / TRIALS))
+    return max(ROTATIONS, int(np.ceil(np.log(MISS) / np.log(share))))
+
+
+def decode(unit: np.ndarray, codes: int = CODES, similar: float = SIMILAR) -> list[np.ndarray]:
     """Sorted numbers of all directions in whose cap each row of ``unit`` lies."""
-    found = [_decode_one(unit, codes, r) for r in range(ROTATIONS)]
+    found = [_decode_one(unit, codes, r) for r in range(rotations(unit.shape[1], codes, similar))]
     owner, number = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((number, owner))
     return np.split(number[order], np.searchsorted(owner[order], np.arange(1, len(unit))))
@@ -110,7 +137,7 @@ PREPARED = T.StructType(
 )
 
 
-def prepare(vectors: DataFrame, codes: int) -> DataFrame:
+def prepare(vectors: DataFrame, codes: int, similar: float = SIMILAR) -> DataFrame:
     """One row per vector, with its caps if it can link. Written, so that ``row`` stays."""
 
     def run(batches):
@@ -132,7 +159,7 @@ def prepare(vectors: DataFrame, codes: int) -> DataFrame:
                 caps: list = [None] * batch.num_rows
                 for dims in {len(u) for u in units if u is not None}:
                     some = [i for i, u in enumerate(units) if u is not None and len(u) == dims]
-                    for i, found in zip(some, decode(np.array([units[i] for i in some]), codes), strict=True):
+                    for i, found in zip(some, decode(np.array([units[i] for i in some]), codes, similar), strict=True):
                         caps[i] = found
                 digests = [
                     hashlib.blake2b(
@@ -216,7 +243,7 @@ def _compare(similar: float):
 
 def near_copies(vectors: DataFrame, similar: float = SIMILAR, block: int = BLOCK, codes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
-    rows = prepare(vectors, codes or codes_for(vectors.count()))
+    rows = prepare(vectors, codes or codes_for(vectors.count()), similar)
     nodes = durable(
         rows.groupBy("digest").agg(
             F.min("row").alias("node"),
