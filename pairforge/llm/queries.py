@@ -16,6 +16,7 @@ from pairforge.llm import (
     pii,
     quality,
     substrings,
+    token_grammar,
     toxicity,
     warc,
 )
@@ -167,6 +168,16 @@ def op10_quality(spark, sf_dir):
     )
 
 
+@query
+def op13_token_grammar(spark, sf_dir):
+    """Token files written to the shared folder and read back."""
+    import public_tokenizers
+
+    path = fresh_path(spark, "tokens")
+    token_grammar.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_grammar.digests(spark, path)
+
+
 _REACH = """
 reach AS (SELECT id AS x, id AS y FROM nodes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
 component AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)

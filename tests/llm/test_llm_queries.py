@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(queries())
 
 
