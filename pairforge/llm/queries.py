@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pairforge.llm import (
     packing,
     pii,
     quality,
+    runs,
     substrings,
     token_grammar,
     toxicity,
@@ -178,6 +180,75 @@ def op13_token_grammar(spark, sf_dir):
     return token_grammar.digests(spark, path)
 
 
+def _planted(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where, and with what period, the words of one document in ten are repeated. Never without an id."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query
+def op11_runs(spark, sf_dir):
+    return runs.detect(table(spark, sf_dir, "documents"), _planted)
+
+
+# The checksum of the decimal id, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(
+        list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))))"""
+
+ORACLE["op11_runs"] = f"""
+WITH read AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        {_CRC32.format(text="doc_id::VARCHAR")} AS h
+    FROM documents
+),
+planned AS (
+    SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM read
+),
+shaped AS (
+    SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) ELSE n + 1 END AS p FROM planned
+),
+d AS (
+    SELECT doc_id, n, CASE WHEN planted
+        THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w
+    FROM shaped
+),
+word AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+equal AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM equal),
+stretch AS (
+    SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM island
+    GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)
+),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+best AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(38, 20) / period DESC, start, period) AS place FROM run
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+    FROM run GROUP BY doc_id
+),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM word ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+    (1000 * length // period)::BIGINT AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN (FROM best WHERE place = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 _REACH = """
 reach AS (SELECT id AS x, id AS y FROM nodes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
 component AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
