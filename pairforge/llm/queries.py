@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.llm import (
+    ball_tree,
     cap_filters,
     decontaminate,
     language,
@@ -249,6 +250,33 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start,
 FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN (FROM best WHERE place = 1) USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+@query
+def op12_ranked_search(spark, sf_dir):
+    return ball_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = _BENCHMARK_WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+
+ORACLE["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+item AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term),
+total AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM counted, total GROUP BY term, docs
+),
+long AS (SELECT doc_id, 100 - 90 + (90 * len(w)::BIGINT * docs) // words AS m FROM d, total),
+scored AS (
+    SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM item JOIN counted USING (term) JOIN weight USING (term) JOIN long USING (doc_id) GROUP BY item_id, doc_id
+),
+ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 _REACH = """
 reach AS (SELECT id AS x, id AS y FROM nodes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
 component AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
