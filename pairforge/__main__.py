@@ -20,7 +20,7 @@ from pairforge.plans import (
     sts,
 )
 from pairforge.runtime import session
-from pairforge.sources.readers import read_jsonl, with_row_key
+from pairforge.sources.readers import read_jsonl, with_row_number
 
 
 def loader(name: str) -> Callable:
@@ -110,7 +110,7 @@ def main(arguments: list[str] | None = None) -> None:
         corpora = {}
         labelled = dict(item.split("=", 1) for item in a.positive)
         for name, path in (item.split("=", 1) for item in a.corpus):
-            pairs = with_row_key(read_jsonl(spark, path, None))
+            pairs = with_row_number(read_jsonl(spark, path, None))
             if name in labelled:
                 pairs = profile_corpora.positive_pairs(pairs, *labelled[name].split(","), keep=("pair_id",))
             corpora[name] = pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +11,8 @@ from pyspark.sql import types as T
 from pairforge.functions.labels import entailment_code, parse_similarity
 from pairforge.functions.text import strip
 from pairforge.operators.prune import require_labels
-from pairforge.operators.ranking import number_rows
-from pairforge.runtime import durable
 from pairforge.schema import PAIRS, XML_PAIRS
+from pairforge.sources.offsets import SPLIT_BYTES, OffsetLines
 
 # Tab-separated text as pandas writes it: quotes are doubled inside quotes. A row with
 # too few or too many fields fails the job, whichever columns are asked for.
@@ -28,7 +29,8 @@ TSV = {
 
 
 PAIR_END = "</pair>"
-ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+# Backslashes first: the others put new ones in.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
 
 
 def read_jsonl(
@@ -66,53 +68,65 @@ def read_delimited(
 
 
 def escape_lines(text: Column) -> Column:
-    """Backslashes and line ends as two-character escapes."""
+    """Backslashes, line ends and NUL as two-character escapes."""
     for plain, escaped in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(escaped))
     return text
 
 
 def unescape_lines(text: Column) -> Column:
-    """The inverse of ``escape_lines``. NUL stands in for backslashes meanwhile."""
-    text = F.replace(text, F.lit("\\\\"), F.lit("\0"))
-    for plain, escaped in ESCAPES[1:]:
-        text = F.replace(text, F.lit(escaped), F.lit(plain))
-    return F.replace(text, F.lit("\0"), F.lit("\\"))
-
-
-def with_row_key(df: DataFrame, name: str = "pair_id") -> DataFrame:
-    """A unique key for the rows of a table just read from files: file, split, place.
-
-    The same files give the same keys, and nothing is written or moved. For numbers
-    without gaps take ``with_row_number``.
-    """
-    return df.select(
-        F.concat_ws(
-            ":",
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start").cast("string"),
-            F.monotonically_increasing_id().cast("string"),
-        ).alias(name),
-        *df.columns,
-    )
+    """The inverse of ``escape_lines``."""
+    # Escaped text holds no NUL, so that can stand for a backslash of the text meanwhile. Then
+    # every backslash left opens an escape, and one that stands alone at the end means NUL.
+    marked = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    for plain, escaped in ESCAPES[1:-1]:
+        marked = F.replace(marked, F.lit(escaped), F.lit(plain))
+    marked = F.replace(marked, F.lit("\\0"), F.lit("\\"))
+    parts = F.transform(F.split(marked, r"\x00"), lambda part: F.replace(part, F.lit("\\"), F.lit("\0")))
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(parts, "\\")).otherwise(text)
 
 
 def with_row_number(df: DataFrame, name: str = "pair_id") -> DataFrame:
     """Number the rows of a table just read from files: 0, 1, ... in path and file order.
 
-    Each split is numbered where it is read, frozen by a write, and shifted by
-    the rows in the splits before it. Splits are told by a short hash of their file
-    and start, so that the table of splits stays small.
+    A first scan counts the rows of every input split, a second one numbers them from the
+    counts of the splits before, so no row is written or moved, and the numbers do not
+    depend on how the files are cut. The table of counts is collected: it has one short row
+    for each split, which the driver lists anyway to plan a scan. Both scans must see the
+    same files and settings; a row that the first one did not count fails the job.
     """
+    spark = df.sparkSession
     rows = df.select(
         *df.columns,
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_chunk"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("_chunk"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    numbered = number_rows(durable(rows, "rows"), ["_file", "_start"], "_seq", name, by="_chunk")
-    return numbered.select(name, *df.columns)
+    counted = rows.groupBy("_chunk").agg(
+        F.min("_file").alias("file"),
+        F.max("_file").alias("last_file"),
+        F.min("_start").alias("start"),
+        F.max("_start").alias("last_start"),
+        F.min("_seq").alias("first"),
+        F.count(F.lit(1)).alias("n"),
+        # Some readers make rows of blank lines when no column is asked for.
+        F.max(F.col(f"`{df.columns[0]}`").isNull()).alias("read"),
+    )
+    splits, before = [], 0
+    for r in sorted(counted.collect(), key=lambda r: (r["file"], r["start"])):
+        if (r["file"], r["start"]) != (r["last_file"], r["last_start"]):
+            raise ValueError("two input splits share a hash")
+        splits.append((r["_chunk"], r["first"], r["n"], before))
+        before += r["n"]
+    table = spark.createDataFrame(splits, "_chunk long, _first long, _n long, _before long")
+    place = F.col("_seq") - F.col("_first")
+    counted_before = (place >= 0) & (place < F.col("_n"))
+    number = F.when(counted_before, place + F.col("_before")).otherwise(
+        F.raise_error(F.lit("a row was not there when rows were counted")).cast("long")
+    )
+    numbered = rows.join(F.broadcast(table), "_chunk", "left")
+    return numbered.select(number.alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -120,6 +134,20 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return with_row_number(spark.read.text(path), "line_no").withColumnRenamed("value", "text")
 
 
+def read_offset_lines(
+    spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """(file, offset, text): every line with the byte at which it begins, in one pass.
+
+    Files are cut at any byte and read by as many tasks as ``split_bytes`` asks for; the rows
+    are the same for every cut. ``file`` is relative to the path given.
+    """
+    spark.dataSource.register(OffsetLines)
+    paths = [path] if isinstance(path, str) else list(path)
+    options = {"paths": json.dumps(paths), "splitBytes": str(split_bytes)}
+    return spark.read.format(OffsetLines.name()).options(**options).load()
+
+
 def read_stripped_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_lines(spark, path).withColumn("text", strip(F.col("text")))
 

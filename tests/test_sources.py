@@ -1,8 +1,11 @@
 import gzip
+import io
 import json
 import uuid
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairforge import runtime
@@ -11,6 +14,7 @@ from pairforge.operators.align import drop_last, zip_lines
 from pairforge.plans import make_splits, parallel_text
 from pairforge.runtime import durable, exists, fresh_path, scratch, shared_dir
 from pairforge.sources import readers, splits, writers
+from pairforge.sources.offsets import lines_of
 
 XML = """<?xml version="1.0" encoding="utf-8"?>
 <entailment-corpus>
@@ -383,14 +387,88 @@ def test_existing_paths(spark, tmp_path):
     assert not exists(spark, fresh_path(spark, "new"))
 
 
-def test_row_keys_are_unique_and_stay(spark, tmp_path, small_splits):
+def plain_lines(data):
+    """(offset, text) of the lines of a file, one byte at a time."""
+    out, begin, i = [], 0, 0
+    while i < len(data):
+        if data[i : i + 1] in (b"\n", b"\r"):
+            out.append((begin, data[begin:i]))
+            i += 2 if data[i : i + 2] == b"\r\n" else 1
+            begin = i
+        else:
+            i += 1
+    return out + ([(begin, data[begin:])] if begin < len(data) else [])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"bc", b"\n", b"\r", b"\r\n", "é".encode(), b" "]), max_size=40), st.integers(1, 50), st.integers(1, 9))
+def test_every_line_is_in_one_byte_range(parts, split, block):
+    data, got = b"".join(parts), []
+    for start in range(0, len(data), split):
+        stream = io.BytesIO(data)
+        stream.seek(max(0, start - 1))
+        for offsets, lengths, text in lines_of(stream, start, min(start + split, len(data)), block):
+            ends = lengths.cumsum()
+            got += [(o, text[e - n : e]) for o, n, e in zip(offsets.tolist(), lengths.tolist(), ends.tolist())]
+    assert got == plain_lines(data)
+
+
+def test_lines_by_offset(spark, tmp_path):
+    folder = tmp_path / "texts"
+    (folder / "deep").mkdir(parents=True)
+    contents = {
+        "b.txt": b"\xef\xbb\xbffirst\r\nsecond\rthird\n\n",
+        "a.txt": "".join(f"line {i} {'é' * (i % 40)}\n" for i in range(2000)).encode(),
+        "deep/c.txt": b"no end",
+        "empty.txt": b"",
+    }
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    (folder / "_hidden").write_bytes(b"x")
+    with gzip.open(folder / "d.txt.gz", "wb") as out:
+        out.write(contents["a.txt"])
+    want = [(n, o, t.removeprefix(b"\xef\xbb\xbf").decode()) for n, d in {**contents, "d.txt.gz": contents["a.txt"]}.items() for o, t in plain_lines(d)]
+    for split in (1 << 20, 1000, 77):
+        df = readers.read_offset_lines(spark, str(folder), split)
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert df.rdd.getNumPartitions() > 100
+    one = readers.read_offset_lines(spark, f"file://{folder}/b.txt")
+    assert [r.text for r in one.collect()] == ["first", "second", "third", ""]
+    with pytest.raises(Exception, match="none"):
+        readers.read_offset_lines(spark, str(tmp_path / "none")).collect()
+
+
+def test_row_numbers_do_not_depend_on_how_files_are_cut(spark, tmp_path, small_splits):
     for name in ("a", "b"):
-        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"source": f"{name}{i}" * 9, "target": "x"}) + "\n" for i in range(900)))
-    df = readers.with_row_key(readers.read_jsonl(spark, str(tmp_path)))
-    assert df.select("pair_id").distinct().count() == 1800
-    once, again = (dict(map(tuple, df.select("pair_id", "source").collect())) for _ in range(2))
-    assert once == again
-    assert {r[0] for r in df.filter("source like 'a1%'").select("pair_id").collect()} <= set(once)
+        rows = (json.dumps({"source": f"{name}{i}" * 9, "target": "x"}) + "\n" + "\n" * (i % 7 == 0) for i in range(900))
+        (tmp_path / f"{name}.json").write_text("".join(rows))
+    seen = []
+    for size in ("20000", "7000", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        df = readers.with_row_number(readers.read_jsonl(spark, str(tmp_path)))
+        seen.append({r["pair_id"]: r["source"] for r in df.collect()})
+        assert {r[0] for r in df.filter("source like 'a1%'").select("pair_id").collect()} <= set(seen[0])
+    assert seen[0] == {i: f"{'ab'[i // 900]}{i % 900}" * 9 for i in range(1800)}
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_equal_splits_for_every_cut_of_the_input(spark, tmp_path, small_splits):
+    (tmp_path / "in.json").write_text("".join(json.dumps({"source": f"s{i}" * 5, "target": "t"}) + "\n" for i in range(3000)))
+    dealt = []
+    for size in ("20000", "3000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        make_splits.run(spark, str(tmp_path / "in.json"), str(tmp_path / size), 1000)
+        dealt.append(sorted((r["split"], r["source"]) for r in spark.read.json(str(tmp_path / size)).collect()))
+    assert dealt[0] == dealt[1] and len(dealt[0]) == 1000
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab\\\0\n\rn0r", max_size=12), min_size=1, max_size=30))
+def test_escapes_are_undone(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    escaped = df.select(readers.escape_lines(F.col("t")).alias("e"))
+    assert not any(c in r["e"] for r in escaped.collect() for c in "\0\n\r")
+    assert [r[0] for r in escaped.select(readers.unescape_lines(F.col("e"))).collect()] == texts
 
 
 def test_splits_keep_every_column(spark, tmp_path):
