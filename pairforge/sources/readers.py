@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from dataclasses import fields
+from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,7 @@ from pairforge.functions.text import strip
 from pairforge.operators.prune import require_labels
 from pairforge.schema import PAIRS, XML_PAIRS
 from pairforge.sources.offsets import SPLIT_BYTES, OffsetLines
+from pairforge.sources.xml_scan import Cutter, Lanes, Scanner, Start, Summary, compose
 
 # Tab-separated text as pandas writes it: quotes are doubled inside quotes. A row with
 # too few or too many fields fails the job, whichever columns are asked for.
@@ -28,7 +34,6 @@ TSV = {
 }
 
 
-PAIR_END = "</pair>"
 # Backslashes first: the others put new ones in.
 ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
 
@@ -164,27 +169,114 @@ def annotated_pairs(raw: DataFrame, need_labels: bool, force: bool = False) -> D
     return require_labels(pairs) if need_labels else pairs
 
 
+ELEMENT = "pair"
+_LANE = [f.name for f in fields(Summary)]
+
+
+def _in_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the input split changes, with the split's hash; the second column holds it."""
+    for batch in batches:
+        chunks = np.asarray(batch.column(1))
+        edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            if start < stop:
+                yield int(chunks[start]), batch.slice(start, stop - start)
+
+
+def _parsed(elements: Iterable[str]) -> pa.RecordBatch:
+    """Attributes and texts of elements, as an XML parser gives them."""
+    rows = []
+    for element in map(ElementTree.fromstring, elements):
+        t, h = element.find("t"), element.find("h")
+        own = element.attrib
+        rows.append(
+            (own.get("id"), own.get("entailment"), own.get("similarity"), None if t is None else t.text, None if h is None else h.text)
+        )
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], XML_PAIRS.names)
+
+
 def read_xml(
     spark: SparkSession, path: str | list[str], need_labels: bool, force: bool = False
 ) -> DataFrame:
     """Annotated pairs from ``<pair id entailment similarity><t/><h/></pair>`` elements.
 
-    The text is cut at the end tag, which Spark's line reader finds across splits, so
-    a file of any size is read by many tasks. What stands before a record's start tag
-    is left out, and a record that does not parse fails the job.
+    A file of any size is read by many tasks, see ``xml_scan``: one scan finds out where in
+    the markup each input split begins, a second one cuts the elements out and parses
+    them. Elements that go over a border of splits are put together from their records, which
+    a third scan picks by number. Broken markup, pairs inside pairs, document types with
+    declarations of their own and encodings other than UTF-8 fail the job. A pair is parsed
+    by itself, so it must not use a namespace prefix that is declared further up.
     """
-    records = spark.read.option("lineSep", PAIR_END).text(path)
-    text = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
-    # Pairs without children end in their own tag; each is an element like the last one.
-    bare = r"<pair\b[^>]*/>"
-    rest = F.regexp_replace("_text", bare, "")
-    start = F.regexp_instr(rest, F.lit(r"<pair[\s>]"))
-    whole = F.when(start > 0, F.concat(F.substring(rest, start, F.lit(2**31 - 1)), F.lit(PAIR_END)))
-    elements = F.array_append(F.regexp_extract_all("_text", F.lit(bare), F.lit(0)), whole)
-    found = records.select(text.alias("_text")).select(F.explode(elements).alias("_element"))
-    found, element = found.filter("_element IS NOT NULL"), F.col("_element")
-    parsed = F.from_xml(element, XML_PAIRS, {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"})
-    return annotated_pairs(found.select(parsed.alias("_pair")).select("_pair.*"), need_labels, force)
+    records = spark.read.option("lineSep", ">").text(path).select(
+        F.col("value"),
+        F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("chunk"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"),
+    )
+    scanner = Scanner(ELEMENT)
+
+    def summarise(batches):
+        chunk, lanes, place = None, None, None
+
+        def row():
+            flat = [getattr(lane, name) for lane in lanes.lanes for name in _LANE]
+            return pa.RecordBatch.from_pylist([{**place, "lanes": flat}], summaries)
+
+        for found, batch in _in_splits(batches):
+            if found != chunk:
+                if lanes:
+                    yield row()
+                chunk, lanes = found, Lanes(scanner)
+                place = {n: batch.column(i)[0].as_py() for i, n in enumerate(batch.schema.names) if n != "value"}
+            lanes.feed(batch.column(0).to_pylist())
+        if lanes:
+            yield row()
+
+    summaries = pa.schema(
+        [("chunk", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("seq", pa.int64()), ("lanes", pa.list_(pa.int64()))]
+    )
+    # One short row for each input split.
+    found = records.mapInArrow(summarise, "chunk long, file string, start long, seq long, lanes array<long>").collect()
+    files: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["file"], r["start"])):
+        files.setdefault(r["file"], []).append(r)
+    starts: dict[int, Start] = {}
+    over = []
+    for number, (file, splits) in enumerate(files.items()):
+        width = len(_LANE)
+        lanes = [[Summary(*r["lanes"][i : i + width]) for i in range(0, len(r["lanes"]), width)] for r in splits]
+        for r, lane, start in zip(splits, lanes, compose(lanes, file), strict=True):
+            if r["chunk"] in starts:
+                raise ValueError("two input splits share a hash")
+            starts[r["chunk"]] = start
+            if start.head >= 0 or start.tail is not None:
+                last = start.begun + lane[start.state].begun - 1
+                over.append((r["chunk"], r["seq"], start.head, start.tail, f"{number}:{start.begun - 1}", f"{number}:{last}"))
+    shared = spark.sparkContext.broadcast(starts)
+
+    def cut(batches):
+        chunk, cutter = None, None
+        for found, batch in _in_splits(batches):
+            if found != chunk:
+                chunk, cutter = found, Cutter(scanner, shared.value[found])
+            yield _parsed(cutter.feed(batch.column(0).to_pylist()))
+
+    pairs = records.mapInArrow(cut, XML_PAIRS)
+    if over:
+        borders = spark.createDataFrame(over, "chunk long, _first long, head long, tail long, _before string, _after string")
+        place = F.col("seq") - F.col("_first")
+        pieces = records.join(F.broadcast(borders), "chunk").select(
+            F.when(place <= F.col("head"), F.col("_before")).when(place >= F.col("tail"), F.col("_after")).alias("element"),
+            F.struct("start", "seq", "value").alias("piece"),
+        )
+        joined = pieces.filter("element IS NOT NULL").groupBy("element").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+        text = F.concat(F.array_join("pieces.value", ">"), F.lit(">"))
+        texts = joined.select(F.substring(text, F.instr(text, "<"), F.lit(2**31 - 1)).alias("text"))
+        pairs = pairs.unionByName(
+            texts.mapInArrow(lambda batches: (_parsed(b.column(0).to_pylist()) for b in batches), XML_PAIRS)
+        )
+    return annotated_pairs(pairs, need_labels, force)
 
 
 def read_named(
