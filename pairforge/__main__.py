@@ -101,9 +101,11 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.job == "cluster-pairs":
         cluster_pairs.run(spark, a.table, a.output_path, a.language)
     elif a.job == "filter":
-        filter_pairs.run(
+        counts = filter_pairs.run(
             spark, a.input_path, a.output_path, a.model, a.prune_threshold, a.semantic_threshold
         )
+        for step, rows in counts.items():
+            print(f"{step}: {rows}")
     elif a.job == "make-splits":
         make_splits.run(spark, a.input_path, a.output_path, a.num_samples)
     elif a.job == "profile":

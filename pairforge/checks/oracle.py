@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pairforge.checks.inputs import DIRT
 from pairforge.functions.text import QUOTES_A, QUOTES_B
+from pairforge.operators.epochs import Permutation
 
 # Whitespace in RE2 terms.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -218,6 +219,14 @@ TURNS_WITH_GAPS = """t AS (
   SELECT conv_id, md5('42:' || coalesce(conv_id::VARCHAR, '')) AS h
   FROM (SELECT CASE WHEN conv_id % 7 > 0 THEN conv_id END AS conv_id FROM conversations))"""
 
+
+
+def _epoch_keys(n: int) -> str:
+    """Keys of the first epochs; how they mix row numbers is said again in SQL."""
+    rows = ((epoch, *(v for key in Permutation.of(1, epoch).keys for v in key)) for epoch in range(n))
+    return ", ".join(f"({epoch}, {', '.join(f'{v}::BIGINT' for v in keys)})" for epoch, *keys in rows)
+
+
 ORACLE: dict[str, str] = {
     "clean_pairs_a": f"WITH {DIRTY}, {_clean_a('clean', 'dirty')} SELECT pair_id, source, target FROM clean",
     "clean_pairs_b": rf"""
@@ -497,7 +506,47 @@ SELECT 'bleu' AS metric, round_even(b * 100, 3) AS value FROM v
 UNION ALL SELECT 'self_bleu', round_even(s * 100, 3) FROM v
 UNION ALL SELECT 'ibleu', round_even(round_even(0.7 * b - 0.3 * s, 3) * 100, 3) FROM v
 UNION ALL SELECT 'sbert', round_even(c * 100, 3) FROM v""",
-    "skip_existing": f"WITH {PAIRS} SELECT pair_id, source FROM pairs WHERE pair_id % 2 = 0",
+    "skip_existing": f"WITH {PAIRS} SELECT pair_id, source FROM pairs",
+    "whole_output": f"WITH {PAIRS} SELECT pair_id, source FROM pairs",
+    "rejected_rows": f"""
+WITH {PAIRS}, r AS (
+  SELECT *, CASE WHEN conv_id % 5 = 0 THEN 'no JSON of this form' WHEN conv_id % 5 = 1 OR target IS NULL THEN 'no target'
+    WHEN turn % 8 >= 6 THEN 'odd turn' END AS reason FROM pairs)
+SELECT CASE WHEN conv_id % 5 <> 0 THEN pair_id END AS pair_id, CASE WHEN conv_id % 5 <> 0 THEN source END AS source,
+  CASE WHEN conv_id % 5 > 1 THEN target END AS target, reason,
+  CASE WHEN conv_id % 5 = 0 THEN '{{"pair_id": ' || pair_id END AS broken FROM r""",
+    "filter_counts": f"""
+WITH {DOCUMENT_PAIRS}, {_clean_a('clean', 'dp')},
+counted AS (SELECT *, {_count('source')} AS src_len, {_count('target')} AS tgt_len FROM clean WHERE source <> target),
+near AS (SELECT * FROM counted WHERE {_ratio(0.5)}),
+scored AS (
+  SELECT (list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2 AS sim
+  FROM near JOIN embeddings a ON a.vec_id = source_id JOIN embeddings b ON b.vec_id = target_id)
+SELECT 'in' AS step, count(*) AS rows FROM dp UNION ALL SELECT 'not_identical', count(*) FROM counted
+UNION ALL SELECT 'length_ratio', count(*) FROM near UNION ALL SELECT 'scored', count(*) FROM scored
+UNION ALL SELECT 'out', count(*) FROM scored WHERE sim > 0.55""",
+    "padded_batches": """
+WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x))[1:512] AS ids FROM documents),
+c AS (SELECT *, greatest(8, 8 * ((len(ids) + 7) // 8))::BIGINT AS width FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY width ORDER BY doc_id) - 1 AS k, greatest(1, 4096 // width) AS room FROM c),
+b AS (SELECT width, max(k // room) + 1 AS n FROM r GROUP BY width),
+o AS (SELECT width, coalesce(sum(n) OVER (ORDER BY width ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b)
+SELECT doc_id, before + k // room AS batch_id, k % room AS pos, width,
+  md5(array_to_string(list_resize(ids, width, 0), ',')) AS ids_md5, len(ids)::BIGINT AS n_ids FROM r JOIN o USING (width)""",
+    "epoch_batches": f"""
+WITH RECURSIVE total AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents),
+size AS (SELECT n, a, (n + a - 1) // a AS b FROM total),
+keys(epoch, {', '.join(f'f{i}, s{i}' for i in range(6))}) AS (VALUES {_epoch_keys(10)}),
+walk AS (
+  SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY doc_id) - 1 AS x, 0 AS step FROM documents, keys
+  UNION ALL
+  SELECT doc_id, epoch, y, step + 1 FROM (
+    SELECT doc_id, epoch, step, b, x // b AS l0, x % b AS r0,
+      (l0 + (r0 * f0 + s0) % 2147483647) % a AS l1, (r0 + (l1 * f1 + s1) % 2147483647) % b AS r1,
+      (l1 + (r1 * f2 + s2) % 2147483647) % a AS l2, (r1 + (l2 * f3 + s3) % 2147483647) % b AS r2,
+      (l2 + (r2 * f4 + s4) % 2147483647) % a AS l3, (r2 + (l3 * f5 + s5) % 2147483647) % b AS r3, l3 * b + r3 AS y
+    FROM walk JOIN keys USING (epoch), size WHERE step = 0 OR x >= n))
+SELECT doc_id, epoch, x // 64 AS batch_id, x % 64 AS pos FROM walk, size WHERE step > 0 AND x < n""",
     "stream_clean_pairs": f"""
 WITH {DIRTY}, {_clean_a('clean', 'dirty')}, counted AS ({_COUNTED} FROM clean)
 SELECT * FROM counted WHERE {_ratio(0.5)} AND source <> target""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.checks.inputs import (
@@ -17,11 +17,23 @@ from pairforge.checks.inputs import (
 )
 from pairforge.compute import compute_once
 from pairforge.functions import arrays, labels, text, tokens, vectors
-from pairforge.operators import align, bleu, clusters, columns, metrics, prune, ranking, stats
+from pairforge.operators import (
+    align,
+    batching,
+    bleu,
+    clusters,
+    columns,
+    epochs,
+    metrics,
+    prune,
+    ranking,
+    stats,
+)
+from pairforge.operators.counts import Counts
 from pairforge.plans import filter_pairs as filtering
 from pairforge.plans import generate, parallel_text, profile_corpora
-from pairforge.runtime import fresh_path
-from pairforge.sources import readers, splits, writers
+from pairforge.runtime import durable, fresh_path, write_whole
+from pairforge.sources import checked, readers, splits, writers
 from pairforge.streaming import pairs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,9 +304,37 @@ def shuffle_order_with_ties(spark, sf_dir):
 def shuffled_rows(spark, sf_dir):
     """All rows in seeded random order, with their places numbered as they come."""
     shuffled = ranking.shuffle_rows(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    ordered = shuffled.withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_at")).cast("long")
-    return ordered.select("doc_id", F.md5("text").alias("text_md5"), place.alias("place"))
+    at = shuffled.select(
+        "doc_id",
+        F.md5("text").alias("text_md5"),
+        F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    numbered = ranking.number_rows(durable(at, "shuffled"), ["_part"], "_seq", "place")
+    return numbered.select("doc_id", "text_md5", (F.col("place") + 1).alias("place"))
+
+
+@query
+def epoch_batches(spark, sf_dir):
+    """Batches of all documents in ten epochs, each in an order of its own, from one scan."""
+    numbered = durable(ranking.with_key_rank(_documents(spark, sf_dir).select("doc_id"), "doc_id", "row"), "numbered")
+    return epochs.epoch_batches(numbered, numbered.count(), 64, range(10)).select("doc_id", "epoch", "batch_id", "pos")
+
+
+@query
+def padded_batches(spark, sf_dir):
+    """Ids of all documents in batches of one padded width within a budget of ids."""
+    lengths = F.transform(F.split("text", " "), lambda w: F.length(w))
+    rows = _documents(spark, sf_dir).select("doc_id", arrays.truncate(lengths, 512).alias("ids"))
+    made = batching.padded_batches(rows, "ids", "doc_id", budget=4096, pad_id=0)
+    return made.select(
+        "doc_id",
+        "batch_id",
+        "pos",
+        "width",
+        F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"),
+        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda n, m: n + m).alias("n_ids"),
+    )
 
 
 # --- joins and clusters ----------------------------------------------------------
@@ -766,14 +806,61 @@ def score_job(spark, sf_dir):
 
 @query
 def skip_existing(spark, sf_dir):
-    """Writing twice to one place, the second time without effect."""
+    """Writing twice to one place, the second time other rows and without effect."""
     rows = conversation_pairs(spark, sf_dir).select("pair_id", "source")
     path = fresh_path(spark, "once")
-    writers.write_jsonl(rows.filter("pair_id % 2 = 0"), path, skip_existing=True)
     writers.write_jsonl(rows, path, skip_existing=True)
+    writers.write_jsonl(rows.withColumn("source", F.lit("changed")), path, skip_existing=True)
+    return readers.read_jsonl(spark, path, "pair_id long, source string")
+
+
+@query
+def whole_output(spark, sf_dir):
+    """An output cut short is written anew, a finished one is left alone."""
+    rows = conversation_pairs(spark, sf_dir).select("pair_id", "source")
+    path = fresh_path(spark, "whole")
+    rows.withColumn("source", F.lit("cut short")).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).json(path)
+    write_whole(rows, path, writers.write_jsonl)
+    write_whole(rows.withColumn("source", F.lit("changed")), path, writers.write_jsonl)
     return readers.read_jsonl(spark, path, "pair_id long, source string")
 
 
+@query
+def rejected_rows(spark, sf_dir):
+    """JSON lines of which some are cut short and some lack a side, told apart in one scan."""
+    rows = conversation_pairs(spark, sf_dir)
+    target = F.when(F.col("conv_id") % 5 != 1, F.col("target"))
+    line = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit('{"pair_id": '), F.col("pair_id").cast("string"))).otherwise(
+        F.to_json(F.struct("pair_id", "source", target.alias("target")))
+    )
+    path = fresh_path(spark, "lines")
+    rows.select(line.alias("value")).write.text(path)
+    found = checked.read_checked_jsonl(
+        spark, path, "pair_id long, source string, target string", {"no target": "target IS NOT NULL", "odd turn": "pair_id % 8 < 6"}
+    )
+    broken = F.when(F.col("reason") == checked.NO_JSON, F.col("text"))
+    return found.select("pair_id", "source", "target", "reason", broken.alias("broken"))
+
+
+@query
+def filter_counts(spark, sf_dir):
+    """Rows that come to each step of the pair filter, counted in the pass that filters."""
+    stored = table(spark, sf_dir, "embeddings")
+    counts = Counts()
+    durable(
+        filtering.filter_pairs(
+            document_pairs(spark, sf_dir),
+            lambda df: filtering.score_with_vectors(df, stored),
+            semantic_threshold=0.55,
+            counts=counts,
+        ),
+        "filtered",
+    )
+    return spark.createDataFrame(list(counts.result().items()), "step string, rows long")
+
+
 @query
 def stream_clean_pairs(spark, sf_dir):
     """The pair cleaner over a file stream, drained; same rows as the batch plan."""

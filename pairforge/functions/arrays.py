@@ -12,16 +12,17 @@ def truncate(ids: Column, max_length: int) -> Column:
     return F.slice(ids, 1, max_length)
 
 
-def _missing(ids: Column, length: int) -> Column:
-    return F.greatest(F.lit(length) - F.size(ids), F.lit(0))
+def _missing(ids: Column, length: int | Column) -> Column:
+    length = length if isinstance(length, Column) else F.lit(length)
+    return F.greatest(length - F.size(ids), F.lit(0))
 
 
-def pad(ids: Column, length: int, pad_id: int) -> Column:
+def pad(ids: Column, length: int | Column, pad_id: int) -> Column:
     """Pad on the right to ``length``; longer arrays are left as they are."""
     return F.concat(ids, F.array_repeat(F.lit(pad_id), _missing(ids, length)))
 
 
-def attention_mask(ids: Column, length: int) -> Column:
+def attention_mask(ids: Column, length: int | Column) -> Column:
     """1 for each real token of the unpadded ``ids``, then 0 up to ``length``."""
     return F.concat(
         F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), _missing(ids, length))

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.operators.expressions import checked
+
 ROLES = ("source", "target", "prediction")
 
 
@@ -56,7 +58,7 @@ def roles_first(df: DataFrame, roles=("source", "target")) -> DataFrame:
 def map_columns(df: DataFrame, assignments: str) -> DataFrame:
     """Apply ``a = expr; b = expr`` from left to right; later ones see earlier ones.
 
-    Expressions are Spark SQL. A semicolon inside quotes does not separate.
+    Expressions are Spark SQL, checked. A semicolon inside quotes does not separate.
     """
     parts = re.findall(r"""(?:[^;'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")+|;""", assignments)
     if "".join(parts) != assignments:
@@ -66,7 +68,7 @@ def map_columns(df: DataFrame, assignments: str) -> DataFrame:
         name, equals, expression = part.partition("=")
         if not equals or not name.strip() or not expression.strip():
             raise ValueError(f"not an assignment: {part!r}")
-        df = df.withColumn(name.strip(), F.expr(expression.strip()))
+        df = df.withColumn(name.strip(), checked(df, expression.strip()))
     return df
 
 

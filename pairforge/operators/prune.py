@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.tokens import Tokenizer, word_count, word_tokens
+from pairforge.operators.expressions import checked
 
 
 def keep_equal(df: DataFrame, column: str, value) -> DataFrame:
@@ -45,8 +46,8 @@ def min_words(
 
 
 def filter_rows(df: DataFrame, predicate: str | None) -> DataFrame:
-    """A user's SQL predicate; Catalyst pushes it down like any other filter."""
-    return df.filter(F.expr(predicate)) if predicate else df
+    """A user's SQL predicate, checked; Catalyst pushes it down like any other filter."""
+    return df.filter(checked(df, predicate)) if predicate else df
 
 
 def _unlabelled() -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pairforge.functions.arrays import encode, encode_labels
 from pairforge.functions.text import lower_columns, strip
 from pairforge.operators.columns import prefix_column, rename_roles, resolve_column, select_roles
-from pairforge.operators.inference import infer
+from pairforge.operators.inference import embed, infer
 from pairforge.operators.metrics import evaluate, report
 from pairforge.operators.ranking import SEED, shuffle_batches
-from pairforge.runtime import exists, scratch
+from pairforge.runtime import finished, scratch, write_whole
 from pairforge.sources.readers import read_delimited, read_named
 from pairforge.sources.splits import load_splits, prepare
 from pairforge.sources.writers import write_predictions, write_report
@@ -86,16 +86,16 @@ def score(
         roles = lower_columns(roles)
     if load is not None:
         # A null counts as empty here, as it does in the other values of the record.
-        for text, vector in zip(("prediction", "target"), VECTORS, strict=True):
-            given = roles.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-            roles = infer(given, ["_text"], vector, "array<double>", load, batch_size).drop("_text")
+        texts = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("prediction", "target")}
+        given = roles.withColumns(texts)
+        roles = embed(given, dict(zip(VECTORS, texts, strict=True)), load, batch_size=batch_size).drop(*texts)
     return evaluate(roles, metric, reference="target")
 
 
 def run_generate(
     spark: SparkSession, df: DataFrame, load: Callable, output_path: str, **options
 ) -> None:
-    write_predictions(generate(df, load, **options), output_path)
+    write_whole(generate(df, load, **options), output_path, write_predictions)
 
 
 def prepare_and_generate(
@@ -116,11 +116,12 @@ def prepare_and_generate(
     """Load a csv or JSON file or a named dataset, prepare it, generate, write.
 
     Preparing cleans the texts, keeps the first ``max_samples`` rows, and applies the
-    user's filter and mapping, in this order. Nothing is done when the output is there.
+    user's filter and mapping, in this order. Nothing is done when the output is finished;
+    one cut short is written anew.
     """
     if (file is None) == (dataset is None):
         raise ValueError("give either a file or a dataset")
-    if exists(spark, output_path):
+    if finished(spark, output_path):
         return
     with scratch(spark):
         if file is not None:

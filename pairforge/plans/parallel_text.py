@@ -11,7 +11,7 @@ from pairforge.operators.align import drop_last, zip_lines
 from pairforge.operators.inference import infer
 from pairforge.operators.prune import min_words
 from pairforge.operators.ranking import SEED, in_sample
-from pairforge.runtime import exists, scratch
+from pairforge.runtime import finished, scratch, write_whole
 from pairforge.sources.readers import read_stripped_lines
 from pairforge.sources.writers import write_jsonl
 
@@ -55,8 +55,8 @@ def run(
     num_examples: int | None = None,
     trim_word_count: int | None = None,
 ) -> None:
-    """Nothing is done when the output is there already."""
-    if exists(spark, output_path):
+    """Nothing is done when the output is finished already; one cut short is written anew."""
+    if finished(spark, output_path):
         return
     with scratch(spark):
         pairs = select_pairs(
@@ -65,4 +65,4 @@ def run(
             num_examples,
             trim_word_count,
         )
-        write_jsonl(translate(pairs, load).select("source", "target"), output_path)
+        write_whole(translate(pairs, load).select("source", "target"), output_path, write_jsonl)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Rows a broadcast table may hold when its bound is checked at run time.
@@ -21,6 +24,8 @@ _OWN_DIRS: dict[str, str] = {}
 # Tables written within the ``scratch`` blocks that are open.
 _SCRATCH: list[list[str]] = []
 
+_SHIPPED: set[str] = set()
+
 # Settings the plans are written for. Sizes are left to adaptive execution.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -90,6 +95,81 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+MARKERS = ("_MANIFEST", "_SUCCESS")
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written ``path`` to its end: a folder with a mark of that, or a file."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return False
+    if system.getFileStatus(place).isFile():
+        return True
+    return any(exists(spark, f"{path.rstrip('/')}/{mark}") for mark in MARKERS)
+
+
+def write_whole(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> bool:
+    """Let ``write`` put ``df`` into a folder that shows under ``path`` only when it is whole.
+
+    The folder is written beside ``path``, gets a manifest of its rows and files, and is
+    renamed once. Rows are counted in the same pass. A finished output is left alone, and no job is
+    started for it (False). What a killed job left is replaced: a staging folder is ours
+    and deleted; an unfinished ``path`` is not, and is renamed.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    if finished(spark, path):
+        return False
+    staging = f"{path}.staging"
+    system, place = _file_system(spark, staging)
+    _, target = _file_system(spark, path)
+    if system.exists(place):
+        system.delete(place, True)
+    counted = Observation()
+    write(df.observe(counted, F.count(F.lit(1)).alias("rows")), staging)
+    files, found = [], system.listFiles(place, True)
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toString().partition(f"{place.getName()}/")[2]
+        if not name.rpartition("/")[2].startswith(("_", ".")):
+            files.append({"name": name, "bytes": status.getLen()})
+    manifest = {"rows": counted.get["rows"], "files": sorted(files, key=lambda f: f["name"])}
+    out = system.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "_MANIFEST"), True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if system.exists(target):
+        aside = _file_system(spark, f"{path}.partial-{uuid.uuid4().hex}")[1]
+        if not system.rename(target, aside):
+            raise OSError(f"an unfinished {path} is in the way")
+    if not system.rename(place, target):
+        raise OSError(f"{staging} could not be renamed to {path}")
+    return True
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The rows and files of a folder that ``write_whole`` wrote."""
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString
+    system, place = _file_system(spark, f"{path.rstrip('/')}/_MANIFEST")
+    stream = system.open(place)
+    try:
+        return json.loads(text(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, through Spark."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="pairforge-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end of a job, the tables that ``durable`` wrote within it."""

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pairforge.functions.labels import entailment_code, parse_similarity
 from pairforge.functions.text import strip
 from pairforge.operators.prune import require_labels
+from pairforge.runtime import ship
 from pairforge.schema import PAIRS, XML_PAIRS
 from pairforge.sources.offsets import SPLIT_BYTES, OffsetLines
 from pairforge.sources.xml_scan import Cutter, Lanes, Scanner, Start, Summary, compose
@@ -147,6 +148,7 @@ def read_offset_lines(
     Files are cut at any byte and read by as many tasks as ``split_bytes`` asks for; the rows
     are the same for every cut. ``file`` is relative to the path given.
     """
+    ship(spark)
     spark.dataSource.register(OffsetLines)
     paths = [path] if isinstance(path, str) else list(path)
     options = {"paths": json.dumps(paths), "splitBytes": str(split_bytes)}
@@ -207,6 +209,7 @@ def read_xml(
     declarations of their own and encodings other than UTF-8 fail the job. A pair is parsed
     by itself, so it must not use a namespace prefix that is declared further up.
     """
+    ship(spark)
     records = spark.read.option("lineSep", ">").text(path).select(
         F.col("value"),
         F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("chunk"),
