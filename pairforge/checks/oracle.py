@@ -221,13 +221,81 @@ TURNS_WITH_GAPS = """t AS (
 
 
 
+def _treebank(c: str) -> str:
+    """Marks of a sentence set apart by spaces."""
+    for pattern, new in (
+        (r"\.\.\.", " ... "),
+        (r"([:,])([^0-9])", r" \1 \2"),
+        (r"([:,])\z", r" \1 "),
+        (r"([;@#$%&?!\[\](){}<>«»“”\"])", r" \1 "),
+        ("--", " -- "),
+        (r"([^.])(\.)([ ''’]*)\z", r"\1 \2 \3"),
+        (r"(''[sSmMdD]|''ll|''LL|''re|''RE|''ve|''VE|n''t|N''T)( |\z)", r" \1 "),
+    ):
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    return c
+
+
 def _epoch_keys(n: int) -> str:
     """Keys of the first epochs; how they mix row numbers is said again in SQL."""
     rows = ((epoch, *(v for key in Permutation.of(1, epoch).keys for v in key)) for epoch in range(n))
     return ", ".join(f"({epoch}, {', '.join(f'{v}::BIGINT' for v in keys)})" for epoch, *keys in rows)
 
 
+_AROUND = """'^["''(\\[{«“‘]+|["'')\\]}»”’]+\\z'"""
+# Words with what tells sentences apart, and the model, as numbered words of the texts.
+SENTENCE_MODEL = rf"""
+piece AS (
+  SELECT doc_id, piece, i FROM (
+    SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS i FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda t: t <> '') AS p FROM documents))),
+cored AS (SELECT *, regexp_replace(piece, {_AROUND}, '', 'g') AS core FROM piece),
+w AS (
+  SELECT doc_id, i, piece, lower(regexp_replace(core, '\.\z', '')) AS word, ends_with(core, '.') AND NOT ends_with(core, '..') AS dot,
+    regexp_matches(core, '([?!]|\.\.)\z') AS stop, regexp_matches(core, '^\p{{Lu}}') AS upper, regexp_matches(core, '^\p{{Ll}}') AS low
+  FROM cored),
+typed AS (SELECT word, count(*) FILTER (dot) AS a, count(*) FILTER (NOT dot) AS b FROM w WHERE regexp_matches(word, '\p{{L}}') GROUP BY word),
+chance AS (SELECT sum(a)::DOUBLE / sum(a + b) AS p FROM typed),
+abbreviation AS (
+  SELECT word, -2 * (a * ln(p) + b * ln(1 - p) - a * ln(0.99) - b * ln(1 - 0.99)) * exp(-(length(word) - inner_dots)) * (inner_dots + 1)
+    * pow(greatest(length(word) - inner_dots, 1), -b) AS score
+  FROM (SELECT *, length(word) - length(replace(word, '.', '')) AS inner_dots FROM typed WHERE a > 0), chance),
+short AS (SELECT * FROM abbreviation WHERE score >= 0.3),
+pair AS (
+  SELECT y.word, x.stop OR (x.dot AND x.word NOT IN (SELECT word FROM short)) AS ends
+  FROM w x JOIN w y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE regexp_matches(y.word, '\p{{L}}')),
+follow AS (SELECT word, count(*) FILTER (ends)::DOUBLE AS k, count(*)::DOUBLE AS n FROM pair GROUP BY word),
+sums AS (SELECT sum(n) AS total, sum(k) AS ended FROM follow),
+rated AS (SELECT *, n / total AS p, k / ended AS p1, (n - k) / (total - ended) AS p2 FROM follow, sums WHERE k > 0),
+safe AS (SELECT *, least(greatest(p1, 1e-12), 1 - 1e-12) AS s1, least(greatest(p2, 1e-12), 1 - 1e-12) AS s2 FROM rated WHERE p1 > p2),
+starter AS (
+  SELECT word, -2 * (k * ln(p) + (ended - k) * ln(1 - p) + (n - k) * ln(p) + (total - ended - n + k) * ln(1 - p)
+    - k * ln(s1) - (ended - k) * ln(1 - s1) - (n - k) * ln(s2) - (total - ended - n + k) * ln(1 - s2)) AS score FROM safe),
+known AS (SELECT * FROM starter WHERE score >= 30)"""
+
 ORACLE: dict[str, str] = {
+    "sentence_model": f"""
+WITH {SENTENCE_MODEL}
+SELECT 'abbreviation' AS kind, word, round(score, 3) AS score FROM short
+UNION ALL SELECT 'starter', word, round(score, 3) FROM known""",
+    "word_count_sentences": rf"""
+WITH {SENTENCE_MODEL},
+next AS (
+  SELECT *, lead(upper) OVER o AS next_upper, lead(low) OVER o AS next_low, lead(word) OVER o AS next_word FROM w
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (
+  SELECT doc_id, i, piece, coalesce(CASE
+    WHEN regexp_matches(piece, '\.\.["'')\]}}»”’]*\z') THEN next_upper
+    WHEN stop THEN true
+    WHEN dot AND (word IN (SELECT word FROM short) OR regexp_matches(word, '^\p{{L}}\z'))
+      THEN next_upper AND next_word IN (SELECT word FROM known)
+    WHEN dot THEN NOT next_low ELSE false END, false) AS ends FROM next),
+numbered AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ended),
+sentence AS (SELECT doc_id, s, string_agg(piece, ' ' ORDER BY i) AS t FROM numbered GROUP BY doc_id, s),
+marked AS (SELECT doc_id, {_treebank('t')} AS t FROM sentence),
+counted AS (SELECT doc_id, count(*) AS n, sum(len(list_filter(string_split(t, ' '), lambda x: x <> '')))::BIGINT AS words FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(words, 0)::BIGINT AS words FROM documents LEFT JOIN counted USING (doc_id)""",
     "clean_pairs_a": f"WITH {DIRTY}, {_clean_a('clean', 'dirty')} SELECT pair_id, source, target FROM clean",
     "clean_pairs_b": rf"""
 WITH {DIRTY}, bare AS (

@@ -27,6 +27,7 @@ from pairforge.operators import (
     metrics,
     prune,
     ranking,
+    sentences,
     stats,
 )
 from pairforge.operators.counts import Counts
@@ -82,6 +83,30 @@ def word_count(spark, sf_dir):
     return rows.select("corpus", "id", tokens.word_count(F.col("text")).cast("long").alias("words"))
 
 
+@query
+def sentence_model(spark, sf_dir):
+    """Abbreviations and words that begin sentences, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    scores = sentences.abbreviation_scores(sentences.word_counts(docs, "text"))
+    short = scores.filter(F.col("score") >= sentences.ABBREVIATION)
+    starters = sentences.starter_scores(docs, "text", [r["word"] for r in short.select("word").collect()])
+    rows = {"abbreviation": short, "starter": starters.filter(F.col("score") >= sentences.STARTER)}
+    return _rounded(align.stack(rows).withColumnRenamed("corpus", "kind"), "score", digits=3)
+
+
+@query
+def word_count_sentences(spark, sf_dir):
+    """Sentences of all documents by a model learned from them, and the words in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentences.SentenceModel.learn(docs, "text")
+    cut = compute_once(docs, {"sentences": sentences.sentences(F.col("text"), model)})
+    return cut.select(
+        "doc_id",
+        F.size("sentences").cast("long").alias("n_sentences"),
+        sentences.words_of_sentences(F.col("sentences")).cast("long").alias("words"),
+    )
+
+
 @query
 def word_token_text(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
