@@ -20,8 +20,18 @@ from pairforge.llm.queries import packed_pieces
 from pairforge.runtime import durable
 
 
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches for texts of a few thousand bytes: each lies in memory on both sides of a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(BATCH_ROWS, int(spark.conf.get(key)))))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the lexicon scores below one half; null and empty texts stay."""
+    _small_batches(spark)
     labels = toxicity.learned_from(table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep_below=0.5)
     return scored.select(*docs.columns)
@@ -29,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    _small_batches(spark)
     ship(spark)
     kept = (
         minhash.near_copies(docs)
@@ -45,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words fewer than one in twenty lie in benchmark windows."""
+    _small_batches(spark)
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
     gone = found.filter(decontaminate.contaminated()).select(F.col("doc_id").alias("_gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
@@ -52,12 +64,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of personal data replaced by its kind."""
+    _small_batches(spark)
     ship(spark)
     return pii.redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of power-of-two lengths, each a sequence, with a digest of its ids."""
+    _small_batches(spark)
     ship(spark)
     return packed_pieces(docs)
 
