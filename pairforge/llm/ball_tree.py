@@ -45,7 +45,7 @@ from pairforge.llm.token_grammar import ragged
 from pairforge.runtime import durable
 
 BLOCK_WORDS = 200_000  # query words that are searched, and broadcast, at a time
-TREE_ROWS = 1 << 14
+TREE_ROWS = 1 << 13
 LEAF_ROWS = 24
 K = 10
 
