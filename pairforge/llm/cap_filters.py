@@ -9,11 +9,15 @@ their number follows from how often one code parts random pairs at the threshold
 that all of them do with a chance of ``MISS`` at most, at every code size. Vectors meet under (label, direction) and
 are verified by their cosine in double precision.
 
-Equal vectors of one label are one node that counts its copies. A bucket of any size
-is cut into blocks of ``BLOCK`` nodes, and each pair of blocks is a task's work. A
-pair is counted under the first direction its two vectors share, so link counts are
-exact for the pairs found, and no pair leaves a task: only counts per node and a
-spanning forest do.
+They meet in two rounds. In the first one every vector is sent under its first direction
+only, where most members of a group find each other. In the second one it is sent under
+all others, but only to buckets that hold more than one of the components found so far; codes are
+so fine that strangers seldom share one. Then links are counted among all members of a
+component, whichever directions they share, so counts are exact for the components found.
+
+Equal vectors of one label are one node that counts its copies. A bucket, or a component, of any size
+is cut into blocks of ``BLOCK`` nodes, and each pair of blocks is a task's work. No pair
+leaves a task: only counts per node and a spanning forest do.
 
 Null labels, null or zero vectors and vectors with null or non-finite components link
 with nothing. Rows that repeat an id are told apart; each gets a row.
@@ -22,7 +26,7 @@ with nothing. Rows that repeat an id are told apart; each gets a row.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.components import Joined, connected_components, spanning
-from pairforge.llm.minhash import _whole_runs
+from pairforge.llm.minhash import _edges, _whole_runs
 from pairforge.runtime import durable
 
 SIMILAR = 0.93
@@ -45,14 +49,18 @@ MISS = 1e-4  # chance that a pair at the threshold is missed by all codes
 TRIALS = 1000  # random pairs that one code is tried on
 CAPS = 10.0  # caps of a code an average vector lies in
 LEAST_CAPS = 6  # a vector in fewer caps of a code takes its nearest directions
+STRANGERS = 2  # members of a bucket by chance, if all vectors had one label
 BLOCK = 128
 SEED = 11
 
 
 def codes_for(rows: int) -> int:
-    """Code words in each part: more directions for more vectors, so that buckets stay small."""
+    """Code words in each part: more directions for more vectors, so that a bucket holds few strangers.
+
+    Beyond some three million vectors of one label the code grows no more, and strangers do.
+    """
     codes = CODES
-    while rows * CAPS / codes**PARTS > 4 * BLOCK and codes < 4096:
+    while rows * CAPS / codes**PARTS > STRANGERS and codes < 4096:
         codes *= 2
     return codes
 
@@ -195,52 +203,94 @@ def _block_pairs(blocks: Column, member: str) -> Column:
     )
 
 
-def _compare(similar: float):
+def _blocks_of(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of every pair of blocks, and which of them are close in it."""
+    for table in _whole_runs(batches, "place"):
+        place = np.asarray(table["place"])
+        edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]).tolist()
+        for start, stop in zip(edges, edges[1:], strict=False):
+            if stop - start < 2:
+                continue
+            part = table.slice(start, stop - start)
+            x = np.array([np.frombuffer(v, np.float64) for v in part["vector"].to_pylist()])
+            close = x @ x.T >= similar
+            np.fill_diagonal(close, False)
+            if part["one"][0].as_py() != part["two"][0].as_py():  # pairs inside a block are another task's work
+                own = np.asarray(part["own"])
+                close &= own[:, None] != own[None, :]
+            if close.any():
+                yield part, close
+
+
+def _join(similar: float):
+    """A spanning forest of the links between different components."""
+
+    def run(batches):
+        joined = Joined()
+        for part, close in _blocks_of(batches, similar):
+            nodes, component = np.asarray(part["node"]), np.asarray(part["component"])
+            close &= component[:, None] != component[None, :]
+            for i, j in spanning(close):
+                joined.join(int(nodes[i]), int(nodes[j]))
+            if len(joined.edges) >= 10_000:
+                yield _edges(joined.take())
+        yield _edges(joined.take())
+
+    return run
+
+
+def _count(similar: float):
+    """Links of every node in a pair of blocks."""
+
     def run(batches):
-        joined, links = Joined(), Counter()
-        for table in _whole_runs(batches, "place"):
-            place, nodes = np.asarray(table["place"]), np.asarray(table["node"])
-            copies, own = np.asarray(table["copies"]), np.asarray(table["own"])
-            one, two, cap = np.asarray(table["one"]), np.asarray(table["two"]), np.asarray(table["cap"])
-            edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]).tolist()
-            vectors, caps = table["vector"].to_pylist(), table["caps"].to_pylist()
-            for start, stop in zip(edges, edges[1:], strict=False):
-                if stop - start < 2:
-                    continue
-                here = slice(start, stop)
-                x = np.array([np.frombuffer(v, np.float64) for v in vectors[here]])
-                close = x @ x.T >= similar
-                np.fill_diagonal(close, False)
-                if one[start] != two[start]:  # pairs inside a block are another task's work
-                    close &= own[here][:, None] != own[here][None, :]
-                if not close.any():
-                    continue
-                mine = nodes[here]
-                for i, j in spanning(close):
-                    joined.join(int(mine[i]), int(mine[j]))
-                # Counted under the first cap the two share.
-                before = [[c for c in some if c < cap[start]] for some in caps[here]]
-                if any(before):
-                    names, column = np.unique(np.concatenate([np.array(b, np.int64) for b in before]), return_inverse=True)
-                    marks = np.zeros((len(before), len(names)), np.float32)
-                    marks[np.repeat(np.arange(len(before)), [len(b) for b in before]), column] = 1.0
-                    close &= (marks @ marks.T) < 0.5
-                count = close @ copies[here]
-                for i in np.flatnonzero(count).tolist():
-                    links[int(mine[i])] += int(count[i])
-            found = joined.take()
+        for part, close in _blocks_of(batches, similar):
+            count = close @ np.asarray(part["copies"])
+            some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([e[k] for e in found], pa.int64()) for k in range(2)] + [pa.nulls(len(found), pa.int64())],
-                ["a", "b", "n"],
+                [pa.array(np.asarray(part["node"])[some]), pa.array(count[some].astype(np.int64))], ["node", "links"]
             )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(links), pa.int64()), pa.nulls(len(links), pa.int64()), pa.array(list(links.values()), pa.int64())],
-            ["a", "b", "n"],
-        )
 
     return run
 
 
+def _met(members: DataFrame, groups: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """Members (place, own, one, two, node, ...) of every pair of blocks of a group, with their vectors.
+
+    ``members`` have a ``group``, ``groups`` say how many members each has; others are left out.
+    """
+    sizes = groups.select(F.bitwise_not("group").alias("_k"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = (
+        members.withColumn("_k", F.bitwise_not("group"))
+        .join(sizes, "_k")
+        .drop("_k")
+        .select("*", F.explode(_block_pairs(F.col("blocks"), "node")).alias("pair"))
+        .drop("blocks")
+        .select("*", F.xxhash64("group", "pair.one", "pair.two").alias("place"), "pair.*")
+        .drop("pair", "group")
+    )
+    return dealt.join(vectors, "node").repartition("place").sortWithinPartitions("place")
+
+
+def _links(able: DataFrame, components: DataFrame | None, caps: Column, similar: float, block: int) -> DataFrame:
+    """Edges (a, b) between components whose members meet under ``caps``."""
+    known = able.select("node", "label", caps.alias("caps"), F.length("vector").alias("size"))
+    if components is None:
+        known = known.withColumn("component", F.col("node"))
+    else:
+        known = known.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Vectors of one length meet only: the length is part of the bucket.
+    entries = known.select("node", "component", "label", "size", F.explode("caps").alias("cap")).select(
+        "node", "component", F.xxhash64("label", "size", "cap").alias("group")
+    )
+    mixed = (
+        entries.groupBy("group")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .filter("lo < hi")
+    )
+    met = _met(entries, mixed, able.select("node", "vector"), block)
+    return durable(met.mapInArrow(_join(similar), "a long, b long"), "links")
+
+
 def near_copies(vectors: DataFrame, similar: float = SIMILAR, block: int = BLOCK, codes: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label)."""
     rows = prepare(vectors, codes or codes_for(vectors.count()), similar)
@@ -256,31 +306,13 @@ def near_copies(vectors: DataFrame, similar: float = SIMILAR, block: int = BLOCK
         "nodes",
     )
     able = nodes.filter("vector IS NOT NULL").select("node", "label", "copies", "vector", "caps")
-    # Vectors of one length meet only: the length is part of the bucket.
-    bucket = F.xxhash64("label", F.length("vector"), "cap")
-    capped = able.select("node", F.explode("caps").alias("cap"), "label", "vector")
-    sizes = capped.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = sizes.select(F.bitwise_not("bucket").alias("_k"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = (
-        able.select("*", F.explode("caps").alias("cap"))
-        .withColumn("bucket", bucket)
-        .withColumn("_k", F.bitwise_not("bucket"))
-        .join(shared, "_k")
-        .select(
-            "node", "copies", "vector", "caps", "cap", "bucket",
-            F.explode(_block_pairs(F.col("blocks"), "node")).alias("pair"),
-        )
-        .select(
-            F.xxhash64("bucket", "pair.one", "pair.two").alias("place"),
-            "node", "copies", "vector", "caps", "cap", "pair.one", "pair.two", "pair.own",
-        )
-    )
-    found = durable(
-        met.repartition("place").sortWithinPartitions("place").mapInArrow(_compare(similar), "a long, b long, n long"),
-        "links",
-    )
-    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    groups = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
+    first = _links(able, None, F.slice("caps", 1, 1), similar, block)
+    second = _links(able, durable(connected_components(first), "components"), F.col("caps"), similar, block)
+    groups = durable(connected_components(first.unionByName(second)), "components")
+    sizes = groups.groupBy(F.col("component").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    members = groups.select("node", F.col("component").alias("group"))
+    counted = _met(members, sizes, able.select("node", "copies", "vector"), block).mapInArrow(_count(similar), "node long, links long")
+    links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     lead = (
         nodes.select("digest", "node", "least_id", "copies")
         .join(groups, "node", "left")
