@@ -11,7 +11,6 @@ Null and empty texts consist of the end token alone. Repeated rows are packed ea
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.llm.common import slices, utf8
+from pairforge.llm.word_ids import CACHED_WORDS, word_ids
 
 LONGEST = 2048
 END = 1
-CACHED_WORDS = 600_000  # encoded words a worker keeps, the first it meets
-CACHED_BYTES = 64  # longer words are encoded anew
 
 PIECES = T.StructType(
     [
@@ -41,49 +39,6 @@ PIECES = T.StructType(
 )
 
 
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class _Encoder(dict):
-    """White-space separated words to their token ids as little-endian bytes.
-
-    Tokens never span white space in this vocabulary, so words are encoded one by
-    one and common ones are looked up.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        # Letters and the punctuation after them are encoded apart by the vocabulary too.
-        core = word.rstrip(_MARKS)
-        if core != word and core[-1:].isalnum() and b"'" not in word and b"<|" not in word:
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            text = word.decode("utf-8", "replace")
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(word) <= CACHED_BYTES and len(self) < CACHED_WORDS:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        # The vocabulary folds case itself; only its special tokens are told by case.
-        text = text if b"<|" in text else text.lower()
-        return b"".join([self[w] for w in text.split()])
-
-
-_ENCODERS: dict[str, _Encoder] = {}
-
-
-def encoder(path: str) -> _Encoder:
-    """The encoder of a vocabulary file, kept for later tasks of the same worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
-    return _ENCODERS[path]
-
-
 def cuts(n: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens, longest first."""
     start = 0
@@ -98,10 +53,14 @@ def cuts(n: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
         bit >>= 1
 
 
-def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = END) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = END, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): ``ids`` are little-endian unsigned 32-bit numbers.
 
-    ``vocabulary`` is the path of a tokenizer file that every executor can read.
+    ``vocabulary`` is the path of a tokenizer file that every executor can read. Texts are
+    encoded word by word where the file says that words stay apart, else whole; a worker
+    keeps ``cached_words`` of them.
     A sequence is numbered by its input split and its place there.
     """
     if longest < 1 or longest & (longest - 1):
@@ -109,7 +68,7 @@ def pack(docs: DataFrame, vocabulary: str, longest: int = LONGEST, end: int = EN
     closing = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(vocabulary).encode
+        encode = word_ids(vocabulary, cached_words).encode
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             columns: list[list] = [[] for _ in PIECES]

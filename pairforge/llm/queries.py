@@ -105,11 +105,11 @@ def op9_pii(spark, sf_dir):
     return pii.detect(docs).drop("text")
 
 
-def packed_pieces(docs: DataFrame) -> DataFrame:
+def packed_pieces(docs: DataFrame, cached_words: int = packing.CACHED_WORDS) -> DataFrame:
     """Pieces with a digest in place of their ids."""
     import public_tokenizers
 
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=cached_words)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -42,9 +42,10 @@ def keeps_words_apart(vocabulary: dict) -> bool:
 class WordIds(dict):
     """Words, as bytes, to their ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.apart = keeps_words_apart(json.loads(self.tokenizer.to_str()))
@@ -62,7 +63,7 @@ class WordIds(dict):
             ids = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         else:
             ids = self.whole(word.decode("utf-8", "replace"))
-        if len(word) <= CACHED_BYTES and len(self) < CACHED_WORDS:
+        if len(word) <= CACHED_BYTES and len(self) < self.cached:
             self[word] = ids
         return ids
 
@@ -74,11 +75,12 @@ class WordIds(dict):
         return b"".join([self[w] for w in text.split()])
 
 
-_KEPT: dict[str, WordIds] = {}
+_KEPT: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """The encoder of a vocabulary file, kept for later tasks of the same worker."""
-    if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
-    return _KEPT[path]
+def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
+    """The encoder of a vocabulary file, the last one kept for later tasks of the same worker."""
+    if (path, cached) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, cached] = WordIds(path, cached)
+    return _KEPT[path, cached]
