@@ -21,6 +21,7 @@ from pairforge.runtime import durable
 
 
 BATCH_ROWS = 1000
+CACHED_WORDS = 200_000  # in a worker that other stages use as well
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -73,7 +74,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token pieces of power-of-two lengths, each a sequence, with a digest of its ids."""
     _small_batches(spark)
     ship(spark)
-    return packed_pieces(docs)
+    return packed_pieces(docs, CACHED_WORDS)
 
 
 STAGES = [
