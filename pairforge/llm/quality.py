@@ -25,6 +25,7 @@ from pairforge.runtime import durable
 
 SAMPLE_PER_CLASS = 3_000  # labelled documents a fit uses, for each label
 SAMPLE_PASSAGES = 400_000  # and passages of them that are kept in memory at most
+SAMPLE_OF_ONE = 20_000  # passages of one document in it, evenly spaced
 PASSAGE_WORDS = 150
 HIDDEN, GATES = 24, 12
 EPOCHS = 40
@@ -183,10 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     )
     bags, ys, held = [], [], 0
     for r in sample.orderBy("place").toLocalIterator():  # the bounded sample
-        held += r["n"]
-        if held > SAMPLE_PASSAGES:
-            break
-        bags.append(np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH))
+        bag = np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH)
+        bag = bag[:: max(1, -(-len(bag) // SAMPLE_OF_ONE))]
+        if held + len(bag) > SAMPLE_PASSAGES:
+            continue
+        held += len(bag)
+        bags.append(bag)
         ys.append(r["y"])
     y = np.array(ys, float)
     if len(set(ys)) < 2:

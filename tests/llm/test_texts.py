@@ -304,6 +304,36 @@ def test_quality_learns_from_bags(spark, documents):
     assert quality.score(documents([]), model).collect() == []
 
 
+def test_a_long_document_does_not_end_the_sample(spark, documents, monkeypatch):
+    """Bags beyond the bound are thinned out or left out; later ones are still learned from."""
+    rng = random.Random(7)
+    monkeypatch.setattr(quality, "SAMPLE_OF_ONE", 6)
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 120)
+    rows = [(i, "\n".join(("LOUD!! " if i % 2 else "calm words here ") * 20 for _ in range(rng.choice([1, 2, 90])))) for i in range(60)]
+    table = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = documents(rows)
+    got = quality.score(docs, quality.fit(docs, table)).collect()
+    assert len({round(r.score, 6) for r in got}) > 1
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in got]) > 0.95
+
+
+def test_attention_equals_the_formula_over_padded_bags():
+    rng = np.random.default_rng(3)
+    bags = [rng.standard_normal((n, quality.WIDTH)).astype(np.float32) for n in (1, 4, 7)]
+    model = quality.train(bags, np.array([1.0, 0.0, 1.0]), epochs=5)
+    p, most = model.p, max(map(len, bags))
+    x = np.zeros((len(bags), most, quality.WIDTH))
+    real = np.zeros((len(bags), most), bool)
+    for i, bag in enumerate(bags):
+        x[i, : len(bag)], real[i, : len(bag)] = (bag - model.mean) / model.scale, True
+    h = np.maximum(x @ p["E"] + p["e"], 0)
+    gated = np.tanh(h @ p["V"] + p["v"]) / (1 + np.exp(-(h @ p["U"] + p["u"])))
+    weight = np.where(real, np.exp(gated @ p["w"]), 0)
+    weight /= weight.sum(axis=1, keepdims=True)
+    bag = (weight[:, :, None] * h).sum(axis=1)
+    assert np.allclose(model.scores(bags), 1 / (1 + np.exp(-(bag @ p["c"] + p["b"]))), atol=1e-9)
+
+
 def test_gradients_of_the_attention_model():
     rng = np.random.default_rng(2)
     bags = [rng.standard_normal((n, quality.WIDTH)).astype(np.float32) for n in (1, 3, 5, 2)]
