@@ -87,9 +87,10 @@ def word_count(spark, sf_dir):
 def sentence_model(spark, sf_dir):
     """Abbreviations and words that begin sentences, with their scores."""
     docs = table(spark, sf_dir, "documents")
-    scores = sentences.abbreviation_scores(sentences.word_counts(docs, "text"))
+    counted = sentences.neighbours(docs, "text")
+    scores = sentences.abbreviation_scores(sentences.word_counts(counted))
     short = scores.filter(F.col("score") >= sentences.ABBREVIATION)
-    starters = sentences.starter_scores(docs, "text", [r["word"] for r in short.select("word").collect()])
+    starters = sentences.starter_scores(counted, short)
     rows = {"abbreviation": short, "starter": starters.filter(F.col("score") >= sentences.STARTER)}
     return _rounded(align.stack(rows).withColumnRenamed("corpus", "kind"), "score", digits=3)
 
@@ -99,7 +100,7 @@ def word_count_sentences(spark, sf_dir):
     """Sentences of all documents by a model learned from them, and the words in them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = sentences.SentenceModel.learn(docs, "text")
-    cut = compute_once(docs, {"sentences": sentences.sentences(F.col("text"), model)})
+    cut = sentences.with_sentences(docs, "text", model)
     return cut.select(
         "doc_id",
         F.size("sentences").cast("long").alias("n_sentences"),

@@ -4,11 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions.tokens import with_word_counts
+from pairforge.operators import sentences as module
 from pairforge.operators.sentences import (
     SentenceModel,
+    neighbours,
     sentence_tokenizer,
     sentences,
+    starter_scores,
     treebank_words,
+    with_sentences,
     words_of_sentences,
 )
 
@@ -82,3 +86,34 @@ def test_word_counts_by_sentences(spark):
 def test_long_texts_take_time_in_proportion(spark):
     df = spark.createDataFrame([("uma casa azul. " * 40_000,)], "text string")
     assert df.select(F.size(sentences(F.col("text"), MODEL))).first()[0] in (1, 40_000)
+
+
+def test_more_words_than_fit_a_plan_are_joined(spark, corpus, monkeypatch):
+    extra = spark.createDataFrame(
+        [(900, 'Viu o "dr." (Ontem) e o dr. Casa; ver B. Ontem'), (900, None), (901, ""), (None, "O DR. Ontem"), (902, "û. É (av.) Ontem av. ontem")],
+        "i int, text string",
+    )
+    texts = corpus.unionByName(extra).unionByName(extra)
+    model = SentenceModel.learn(texts, "text")
+
+    def cut(model):
+        return sorted(with_sentences(texts, "text", model).select("i", "text", "sentences").collect(), key=repr)
+
+    want = cut(model)
+    monkeypatch.setattr(module, "MOST_WORDS", 1)
+    large = SentenceModel.learn(texts, "text")
+    assert not large.in_plan and {r["word"] for r in large.starters.collect()} == set(model.starters)
+    assert cut(large) == want
+    assert cut(SentenceModel(model.abbreviations, large.starters)) == want
+    assert any(r["sentences"] and len(r["sentences"]) > 1 for r in want)
+
+
+def test_the_texts_are_read_once_for_the_model(spark, corpus):
+    counted = neighbours(corpus, "text")
+    rows = {(r["a"], r["b"]): r["n"] for r in counted.collect()}
+    assert rows[None, "O"] == rows["", "O"] == 400 and rows["dr.", "Casa"] == 50 and (None, "dr.") in rows
+    assert ("O", "dr.") not in rows
+    starters = {r["word"]: r["score"] for r in starter_scores(counted, ["av", "dr"]).collect()}
+    assert set(starters) >= {"ontem", "quem"} and starters["ontem"] > 30
+    short = spark.createDataFrame([("av",), ("dr",)], "word string")
+    assert {r["word"]: r["score"] for r in starter_scores(counted, short).collect()} == starters
