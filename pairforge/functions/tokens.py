@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,19 @@ def bleu_tokens(text: Column) -> Column:
     return whitespace_tokens(text)
 
 
+_BLEU_PATTERNS = [(re.compile(p), r.replace("$", "\\")) for p, r in _BLEU_RULES]
+
+
+def bleu_words(text: str) -> list[str]:
+    """mteval-13a tokens of one text, by the same rules, for counting inside a task."""
+    for old, new in _BLEU_LITERALS:
+        text = text.replace(old, new)
+    text = f" {text} "
+    for pattern, replacement in _BLEU_PATTERNS:
+        text = pattern.sub(replacement, text)
+    return text.split()
+
+
 def word_count(text: Column, tokenizer: Tokenizer = word_tokens) -> Column:
     """Number of tokens; null for a null text."""
     return F.array_size(tokenizer(text))

@@ -1,7 +1,7 @@
 """Corpus BLEU, self-BLEU and iBLEU with no shuffle of texts or n-grams.
 
 Everything BLEU needs from a pair is in one row, so clipped matches are counted
-row by row with array expressions and only about ten sums per partition travel.
+in Arrow batches of rows, by numbers of their n-grams, and only about ten sums per partition travel.
 """
 
 from __future__ import annotations
@@ -9,46 +9,48 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairforge.functions.text import strip
-from pairforge.functions.tokens import bleu_tokens, ngrams
+from pairforge.functions.tokens import bleu_words
+from pairforge.runtime import ship
 
 ORDERS = (1, 2, 3, 4)
 ALPHA = 0.7
+SLICE_BYTES = 4 << 20  # text counted at once; a longer row is counted alone
 
 
-def clipped_matches(prediction: str, reference: str) -> Column:
-    """Size of the multiset intersection of two n-gram array columns.
+def _row_counts(sides: list[list[list[str]]]) -> list[np.ndarray]:
+    """Lengths of every side, then matches of each order with the first side, by reference.
 
-    The first occurrences of each n-gram match as sets do, which built-in hashing
-    settles. If both sides have repeats, the repeats (equal neighbours once
-    sorted) are merged, predictions first among equals, and one pass spends each
-    prediction on at most one reference. Linear but for the sorts, and most
-    sentence pairs never get that far.
+    A side is a list of rows of tokens. N-grams of all rows get numbers of their own, a number for an
+    n-gram of one row whichever side it is on, so clipped matches are least counts by number.
     """
-    p, r = f"`{prediction}`", f"`{reference}`"
-
-    def repeats(grams: str, side: int) -> str:
-        again = f"transform(array(sort_array({grams})), s -> filter(s, (g, i) -> i > 0 AND g = s[i - 1]))[0]"
-        return f"transform({again}, g -> named_struct('gram', g, 'side', {side}))"
-
-    shared = f"size(array_intersect({p}, {r}))"
-    counted = f"""aggregate(sort_array(concat({repeats(p, 0)}, {repeats(r, 1)})),
-        named_struct('gram', string(null), 'unspent', 0, 'matches', 0),
-        (s, x) -> CASE
-            WHEN x.side = 0 THEN named_struct('gram', x.gram,
-                'unspent', if(s.gram <=> x.gram, s.unspent, 0) + 1, 'matches', s.matches)
-            WHEN s.gram <=> x.gram AND s.unspent > 0 THEN named_struct('gram', x.gram,
-                'unspent', s.unspent - 1, 'matches', s.matches + 1)
-            ELSE named_struct('gram', x.gram, 'unspent', 0, 'matches', s.matches) END,
-        s -> s.matches)"""
-    return F.expr(
-        f"""{shared} + CASE WHEN size(array_distinct({p})) < size({p})
-                             AND size(array_distinct({r})) < size({r})
-                        THEN {counted} ELSE 0 END"""
-    )
+    rows = len(sides[0])
+    lengths = [np.fromiter(map(len, side), np.int64, rows) for side in sides]
+    words = pa.array([t for side in sides for row in side for t in row], pa.string()).dictionary_encode().indices
+    words = words.to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.concatenate([np.repeat(np.arange(rows), n) for n in lengths])
+    ends = np.cumsum(np.concatenate(lengths))
+    left = np.repeat(ends, np.concatenate(lengths)) - np.arange(len(words))  # tokens from here to the end of the text
+    side_of = np.repeat(np.arange(len(sides)), [int(n.sum()) for n in lengths])
+    most = int(words.max()) + 1 if len(words) else 1
+    grams, at = of, np.arange(len(words))
+    matches = []
+    for n in ORDERS:
+        whole = left[at] >= n
+        at, grams = at[whole], grams[whole]
+        distinct, grams = np.unique(grams * most + words[at + n - 1], return_inverse=True)
+        row = np.zeros(len(distinct), np.int64)
+        row[grams] = of[at]
+        counts = [np.bincount(grams[side_of[at] == s], minlength=len(distinct)) for s in range(len(sides))]
+        matches.append([np.bincount(row, np.minimum(counts[0], c), rows).astype(np.int64) for c in counts[1:]])
+    return [*lengths, *(matches[i][r] for r in range(len(sides) - 1) for i in range(len(ORDERS)))]
 
 
 def match_counts(
@@ -59,28 +61,37 @@ def match_counts(
 ) -> DataFrame:
     """Per row: ``pred_len`` and, per named reference, its length and matches of each order.
 
-    A null text counts as empty. Three projections, so that tokens and n-grams
-    are stored once and not recomputed by every expression that reads them.
+    A null text counts as empty. Rows are counted some at a time, so a batch never holds more than
+    a few megabytes of tokens, or those of one row.
     """
     keep = keep or {}
     texts = {"pred": F.col(prediction), **references}
-    tokens = df.select(
+    rows = df.select(
         *[c.alias(name) for name, c in keep.items()],
-        *[bleu_tokens(F.coalesce(c, F.lit(""))).alias(f"{s}_1") for s, c in texts.items()],
-    )
-    grams = tokens.select(
-        *keep,
-        *[ngrams(f"{s}_1", n).alias(f"{s}_{n}") for s in texts for n in ORDERS],
-    )
-    return grams.select(
-        *keep,
-        *[F.size(f"{s}_1").alias(f"{s}_len") for s in texts],
-        *[
-            clipped_matches(f"pred_{n}", f"{r}_{n}").alias(f"{r}_match_{n}")
-            for r in references
-            for n in ORDERS
-        ],
+        *[F.coalesce(c.cast("string"), F.lit("")).alias(f"{s}_text") for s, c in texts.items()],
     )
+    names = [f"{s}_len" for s in texts] + [f"{r}_match_{n}" for r in references for n in ORDERS]
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *(T.StructField(n, T.IntegerType()) for n in names)])
+
+    kept, first, stop_at = list(keep), len(keep), len(keep) + len(texts)
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(i).cast(pa.binary()).to_pylist() for i in range(first, stop_at)]
+        numbers = _row_counts([[bleu_words(t.decode("utf-8", "replace")) for t in c] for c in columns])
+        arrays = [*(batch.column(i) for i in range(first)), *(pa.array(x, pa.int32()) for x in numbers)]
+        return pa.RecordBatch.from_arrays(arrays, [*kept, *names])
+
+    def run(batches):
+        for batch in batches:
+            sizes = sum(np.asarray(pc.binary_length(batch.column(i))).astype(np.int64) for i in range(first, stop_at))
+            steps = np.cumsum(sizes) // SLICE_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if stop > start:
+                    yield counted(batch.slice(start, stop - start))
+
+    ship(df.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 def total_counts(references: Mapping[str, Column]) -> list[Column]:

@@ -137,3 +137,15 @@ def test_registry(spark, frame):
         return d.groupBy().count()
 
     assert evaluate(df, "rows").first()["count"] == 1
+
+
+def test_ngrams_are_counted_in_batches_by_number(spark, frame, monkeypatch):
+    """Long texts with repeats, more than a batch holds; no n-gram is a string of its own."""
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choices("ab, c. d1-2", k=rng.randrange(0, 400))), " ".join(rng.choices("ab, c. d", k=300))) for _ in range(60)]
+    monkeypatch.setattr(bleu, "SLICE_BYTES", 1 << 10)
+    df = frame([*rows, ("", ""), ("a\u00a0b\u3000c", "a b\x1cc")])
+    assert "transform" not in plan_of(bleu.corpus_bleu(df))
+    got = bleu.match_counts(df, "prediction", {"ref": df["target"]}).agg(*bleu.total_counts({"ref": df["target"]})).first()
+    match, possible, sys_len, ref_len = counts([*rows, ("", ""), ("a\u00a0b\u3000c", "a b\x1cc")])
+    assert list(got) == [*possible, sys_len, ref_len, *match]
