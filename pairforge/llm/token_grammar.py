@@ -5,9 +5,10 @@ a lost executor costs its tasks only.
 
 ``shards`` has one row for about a million ids that follow each other. Within a shard
 the most frequent pairs of neighbouring symbols are replaced by nonterminals, again and
-again: a round takes every pair that is frequent enough, settles overlaps in favour of
-the more frequent pair, and keeps the pairs that were really replaced often enough to
-pay for their rule. Stored are, as little-endian unsigned 32-bit numbers,
+again, until no pair occurs twice: a round takes every pair that is frequent enough, from the
+most frequent ones down to two occurrences, settles overlaps in favour of the more frequent
+pair, and keeps the pairs that were really replaced. Stored are, as little-endian unsigned
+32-bit numbers,
 
 * ``rules``: the two symbols of nonterminal ``first``, ``first + 1``, ...;
 * ``lengths``: how many ids each of them stands for, by which a position is found without
@@ -43,10 +44,8 @@ from pairforge.llm.word_ids import word_ids
 from pairforge.runtime import broadcast_if_small
 
 SHARD_TOKENS = 1 << 20
-LEAST_COUNT = 8  # replacements that pay for a rule: two symbols and a length
-ROUNDS = 4
-TABLE_BITS = 17
-LEAST_ROOM = 1 << 12  # nonterminals that must fit beside the ids in two bytes
+LEAST_COUNT = 2  # occurrences that make a pair a rule
+START = 1 << 14  # the first round takes pairs that occur once in so many symbols
 
 SHARDS = T.StructType(
     [
@@ -95,67 +94,99 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.n
     return ordered[edges[kept]], counts[kept]
 
 
-def _round(symbols: np.ndarray, least: int, next_symbol: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols after one round, and the keys of the pairs that became nonterminals."""
+def _round(
+    symbols: np.ndarray, open_: np.ndarray, least: int, next_symbol: int, limit: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Symbols after one round, where pairs begin that may repeat, and the keys of the new nonterminals' pairs.
+
+    ``open_`` are such places before it: a pair that is alone stays so until one of its symbols changes. At
+    least one pair is replaced if any occurs ``least`` times without overlap. No keys (None) and nothing
+    done where two bytes cannot number the pairs.
+    """
     half = 8 * symbols.dtype.itemsize
     wide = np.uint32 if half == 16 else np.uint64
-    keys = symbols[:-1].astype(wide) << wide(half) | symbols[1:].astype(wide)
-    chosen, counts = _frequent(keys, least, limit - next_symbol)
+    left, right = symbols[open_], symbols[open_ + 1]
+    # Of a run of one symbol every other pair counts.
+    equal = np.flatnonzero(left == right)
+    if len(equal):
+        begins = np.concatenate([[True], np.diff(open_[equal]) > 1])
+        place = np.arange(len(equal))
+        odd = (place - np.maximum.accumulate(np.where(begins, place, 0))) & 1 == 1
+        counted = np.ones(len(open_), bool)
+        counted[equal[odd]] = False
+        later = open_[~counted]
+        at, left, right = open_[counted], left[counted], right[counted]
+    else:
+        later, at = open_[:0], open_
+    keys = left.astype(wide) << wide(half) | right
+    slots = _hashed(keys, bits := len(keys).bit_length() + 2)
+    held = np.bincount(slots, minlength=1 << bits)[slots]
+    many = held >= least
+    frequent = keys[many]
+    chosen, _ = _frequent(frequent, least, limit - next_symbol) if len(frequent) else (frequent, None)
+    repeats = held >= LEAST_COUNT
+    if len(chosen) == limit - next_symbol and half == 16:  # numbers run out: the caller widens
+        return symbols, open_, None
     if not len(chosen):
-        return symbols, chosen
+        return symbols, np.sort(np.concatenate([at[repeats], later])), chosen
     # Two pairs of one slot: the commoner, which is written last, goes first; the other waits for the next round.
-    slots = np.zeros(1 << TABLE_BITS, np.int32)
-    slots[_hashed(chosen, TABLE_BITS)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    rule = slots[_hashed(keys, TABLE_BITS)]
-    at = np.flatnonzero(chosen[rule] == keys)
-    rule = rule[at]
-    # Of a run of one pair every other one counts; otherwise the commoner neighbour (the smaller number) wins.
-    linked = np.zeros(len(at) + 1, bool)
-    linked[1:-1] = np.diff(at) == 1
-    same = linked[:-1].copy()
-    same[1:] &= rule[1:] == rule[:-1]
-    place = np.arange(len(at), dtype=np.int32)
-    odd = (place - np.maximum.accumulate(np.where(same, 0, place))) & 1 == 1
-    rank = np.where(odd, len(chosen), rule)
-    wins = ~odd
-    lost = linked[1:-1] & (rank[1:] < rank[:-1])
-    wins[:-1] &= ~lost
-    lost = linked[1:-1] & (rank[:-1] < rank[1:])
-    wins[1:] &= ~lost
-    at, rule = at[wins], rule[wins]
+    table = np.zeros(1 << (bits := len(chosen).bit_length() + 4), np.int32)
+    table[_hashed(chosen, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    rule = table[_hashed(frequent, bits)]
+    hit = np.flatnonzero(chosen[rule] == frequent)
+    rule, place = rule[hit], at[many][hit]
+    # Of two that overlap the commoner (the smaller number) wins.
+    linked = np.diff(place) == 1
+    wins = np.ones(len(place), bool)
+    wins[:-1] &= ~(linked & (rule[1:] < rule[:-1]))
+    wins[1:] &= ~(linked & (rule[:-1] < rule[1:]))
+    place, rule = place[wins], rule[wins]
     pays = np.bincount(rule, minlength=len(chosen)) >= LEAST_COUNT
     wins = pays[rule]
-    at, rule = at[wins], rule[wins]
+    place, rule = place[wins], rule[wins]
     numbers = (next_symbol + np.cumsum(pays) - 1).astype(symbols.dtype)
     symbols = symbols.copy()
-    symbols[at] = numbers[rule]
+    symbols[place] = numbers[rule]
     keep = np.ones(len(symbols), bool)
-    keep[at + 1] = False
-    return symbols[keep], chosen[pays]
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(first nonterminal, rules as rows of two symbols, remaining symbols)."""
+    keep[place + 1] = False
+    fresh = np.zeros(len(symbols), bool)
+    fresh[at[repeats]] = True
+    fresh[later] = True
+    fresh[place] = True
+    # The symbol before a new one is the symbol at ``place - 1``, or the new one that took it in.
+    before = place[place > 0] - 1
+    fresh[np.where(keep[before], before, before - 1)] = True
+    fresh = fresh[keep]
+    fresh[-1] = False
+    return symbols[keep], np.flatnonzero(fresh), chosen[pays]
+
+
+def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(first nonterminal, rules as rows of two symbols, remaining symbols).
+
+    Goes on until no pair of neighbours occurs twice without overlap.
+    """
     first = int(ids.max()) + 1 if len(ids) else 1
-    # Two bytes a symbol while there is room for rules; the bound is one on the grammar, not on the text.
-    narrow = first <= (1 << 16) - LEAST_ROOM
-    symbols = ids.astype(np.uint16 if narrow else np.uint32)
-    limit = 1 << 16 if narrow else 1 << 32
+    # Two bytes a symbol as long as its numbers last, then four.
+    symbols = ids.astype(np.uint16 if first < 1 << 16 else np.uint32)
     rules = [np.zeros((0, 2), np.int64)]
     made = 0
-    # The bar starts where only the most frequent pairs pass, and falls to what pays.
-    bar = max(LEAST_COUNT, len(symbols) // 256)
-    for _ in range(rounds):
-        if len(symbols) < 2 or first + made >= limit:
+    # The bar starts where only the most frequent pairs pass, and falls down to two.
+    bar = max(LEAST_COUNT, len(symbols) // START)
+    open_ = np.arange(len(symbols) - 1)
+    while len(open_):
+        limit = 1 << 8 * symbols.dtype.itemsize
+        symbols, open_, keys = _round(symbols, open_, bar, first + made, limit)
+        if keys is None:
+            symbols = symbols.astype(np.uint32)
+            continue
+        if not len(keys) and bar == LEAST_COUNT:
             break
-        symbols, keys = _round(symbols, bar, first + made, limit)
         keys = keys.astype(np.uint64)
         half = np.uint64(8 * symbols.dtype.itemsize)
         rules.append(np.stack([keys >> half, keys & np.uint64((1 << int(half)) - 1)], 1).astype(np.int64))
         made += len(keys)
-        if bar == LEAST_COUNT and not len(keys):
-            break
-        bar = max(LEAST_COUNT, bar // 16)
+        bar = max(LEAST_COUNT, bar // 8)
     return first, np.concatenate(rules), symbols
 
 

@@ -124,3 +124,29 @@ def test_empty_table(spark, documents):
     folder = fresh_path(spark, "tokens")
     G.write_tokens(documents([]), PATH, folder)
     assert G.digests(spark, folder).collect() == [] and G.read_range(spark, folder, 0, 9).collect() == []
+
+
+def _repeated(symbols):
+    """Pairs that occur twice without overlap."""
+    seen, last = {}, {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if last.get(pair, -2) + 1 < i:
+            seen[pair] = seen.get(pair, 0) + 1
+            last[pair] = i
+    return {p for p, n in seen.items() if n > 1}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=500), st.sampled_from([0, 65_000, 65_530, 70_000]))
+def test_no_pair_is_left_that_occurs_twice(ids, offset):
+    _, rules, symbols, _, back = unpacked(np.array(ids, np.uint32) + np.uint32(offset))
+    assert (back == np.array(ids) + offset).all() and not _repeated(symbols)
+    assert len(np.unique(rules, axis=0)) == len(rules)
+
+
+def test_numbers_beyond_two_bytes_do_not_end_the_grammar():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.2, 400_000), 49_408).astype(np.uint32)
+    first, rules, symbols, _, back = unpacked(ids)
+    assert (back == ids).all() and not _repeated(symbols)
+    assert first + len(rules) > 1 << 16 and symbols.dtype == np.uint32
