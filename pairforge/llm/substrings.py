@@ -410,35 +410,42 @@ def repeated_passages(
         .select("key", "lead.row", "lead.doc_id", "copies", "seeds", "places"),
         "classes",
     )
-    seeds = classes.select("key", "row", "doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
-        "key", "row", "doc_id", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")
+    # A class is named by its row until its places are together: no more is moved with each seed.
+    seeds = classes.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
+        "row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")
     )
     twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     marked = (
-        seeds.withColumn("_k", F.bitwise_not("seed"))
+        seeds.select("row", "place", F.bitwise_not("seed").alias("_k"))
         .join(twice.select(F.bitwise_not("seed").alias("_k")), "_k")
-        .groupBy("key")
-        .agg(F.first("row").alias("row"), F.first("doc_id").alias("doc_id"), F.collect_list("place").alias("places"))
+        .groupBy("row")
+        .agg(F.collect_list("place").alias("places"))
+        .join(classes.select("key", "row", "doc_id"), "row")
     )
     texts = docs.select(_text_key(), "text").filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
     grams = _gram_table(texts.join(marked, "key"), least_words)
-    place = F.struct(F.coalesce("doc_id", last).alias("rank"), "row", "word", "words", "start", "end", "doc_id")
-    kept = (
+    # Runs that stand once are told by their digests alone; of the others the earliest is kept. As many words as a
+    # run of the same digest has need not go with it.
+    twice_runs = (
         grams.groupBy("high", "low")
-        .agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"), "kept")
+        .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"))
     )
+    keyed = grams.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")}).drop("high", "low")
+    grams = durable(keyed.join(twice_runs, ["_high", "_low"]), "repeats")
+    place = F.struct(F.coalesce("doc_id", last).alias("rank"), "row", "word", "start", "end", "doc_id")
+    kept = grams.groupBy("_high", "_low").agg(F.min(place).alias("kept"))
     own = F.col("row") == F.col("kept.row")
     later = (
-        grams.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")})
-        .join(kept, ["_high", "_low"])
+        grams.withColumns({"high": F.bitwise_not("_high"), "low": F.bitwise_not("_low")})
+        .join(kept.select(F.bitwise_not("_high").alias("high"), F.bitwise_not("_low").alias("low"), "kept"), ["high", "low"])
         .filter(~(own & (F.col("word") == F.col("kept.word"))))
         # A run that overlaps the one kept in its own text leaves that one whole.
         .select(
             "row",
             "doc_id",
-            F.when(own, F.greatest("word", F.col("kept.word") + F.col("kept.words"))).otherwise(F.col("word")).alias("word"),
+            F.when(own, F.greatest("word", F.col("kept.word") + F.col("words"))).otherwise(F.col("word")).alias("word"),
             (F.col("word") + F.col("words")).alias("stop"),
             F.when(own, F.greatest("start", "kept.end")).otherwise(F.col("start")).alias("start"),
             "end",

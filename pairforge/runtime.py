@@ -26,6 +26,9 @@ _SCRATCH: list[list[str]] = []
 
 _SHIPPED: set[str] = set()
 
+# Spark's setting by which a finished write drops its shuffle files.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Settings the plans are written for. Sizes are left to adaptive execution.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,13 +76,23 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     Cuts lineage in a way that survives lost executors, and freezes values that a
     re-run could change (row positions within a scan). Columnar, so later passes
     over a few narrow columns stay cheap. The table stays until its folder is removed,
-    or until the end of the job when written within ``scratch``.
+    or until the end of the job when written within ``scratch``. What was shuffled for it is
+    not needed once it is there, and goes.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_GO)
+        else:
+            spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _file_system(spark: SparkSession, path: str):

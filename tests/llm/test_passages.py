@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from pairforge import runtime
 from pairforge.llm import substrings
 
 
@@ -115,3 +116,9 @@ def test_whole_lines_and_short_texts_are_repeated_at_any_length(documents):
     assert {(i, n) for i, _, _, n in got} == {(1, 12), (2, 12), (3, 12), (11, 3), (12, 3), (21, 3)}
     long = substrings.repeated_passages(documents(rows), least_line_words=10).collect()
     assert {(r.doc_id, r.n_words) for r in long} == {(1, 12), (2, 12), (3, 12)}
+
+
+def test_the_session_is_as_before_once_a_table_is_there(spark):
+    before = spark.conf.get(runtime.SHUFFLES_GO, None)
+    assert runtime.durable(spark.range(1000).selectExpr("id % 7 AS k").distinct(), "counts").count() == 7
+    assert spark.conf.get(runtime.SHUFFLES_GO, None) == before
