@@ -2,9 +2,10 @@
 
 ``repeated_passages`` finds every one. Of each run of 25 words the seed of 8 words with the
 least hash is picked, so equal runs pick equal seeds; about one seed in ten words is
-stored. Runs whose seed occurs twice, and no others, are then grouped by a 96-bit digest,
-so the result is that of comparing all runs of all texts. Texts equal to the byte are
-compared once. Runs are laid together by word numbers. A whole line that stands earlier
+stored. Runs that follow each other and pick the same seed are a block. Blocks whose seed occurs
+twice, and no others, are then grouped by a 96-bit digest; where one seed is in different blocks,
+the runs of one block of each kind are too. So the result is that of comparing all runs of
+all texts. Digests are made from 64-bit hashes of the words. Texts equal to the byte are compared once. Runs are laid together by word numbers. A whole line that stands earlier
 is repeated at any length, so headings, footers and short texts count too.
 
 ``repeated_spans`` is the older, coarser way over units; it may leave the ends of a passage, or a short
@@ -40,7 +41,8 @@ from pyspark.sql import types as T
 
 from pairforge.llm.common import slices
 from pairforge.llm.minhash import _mix
-from pairforge.runtime import durable
+from pairforge.llm.token_grammar import ragged
+from pairforge.runtime import durable, forget
 
 WINDOW_WORDS = 8
 SEED_WORDS = 8
@@ -49,6 +51,7 @@ LEAST_WORDS = 25
 OPENING_WORDS = 2  # one first word in so many lets a sentence open a unit
 LONG_UNIT = 25  # longer units are cut further
 PIECE_WORDS = 9  # one word in so many opens a piece of a long unit
+SUMMED = 1 << 14  # words hashed at once
 
 # The look-behinds let a run of white space be tried at its first character only.
 _WORD = re.compile(r"\S+")
@@ -241,43 +244,117 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, window_words
 # --- every repeated passage, exactly ------------------------------------------------
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+# White space as ``str.split`` and ``\\s`` have it, by code point.
+_SPACE = np.zeros(0x110000, bool)
+_SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
-_HASHES = _WordHashes()
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    out = left * np.uint64(0x9E3779B97F4A7C15)
+    out += right
+    return _mix(out)
 
 
-def _picked(words: list[str], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all seeds (runs of a few words), and the seed picked for each run of ``least`` words.
+def _run_hashes(h: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of all runs of ``least`` words, put together from runs of 1, 2, 4, ... words."""
+    out, taken, size = None, 0, 1
+    n = len(h) - least + 1
+    while True:
+        if least & size:
+            part = h[taken : taken + n]
+            out = part if out is None else _mixed(out, part)
+            taken += size
+        size *= 2
+        if size > least:
+            return out
+        h = _mixed(h[: -size // 2], h[size // 2 :])
 
-    The pick is the least hash inside the run, so equal runs pick equal seeds wherever they stand.
+
+def _sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of ``values``, by the sum of what each value is mixed to at its place."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), SUMMED):
+        start, n = starts[a : a + SUMMED], lengths[a : a + SUMMED]
+        at = ragged(start, n)
+        place = (at - np.repeat(start, n)).astype(np.uint64)
+        place *= np.uint64(0xD6E8FEB86659FD93)
+        out[a : a + SUMMED] = np.add.reduceat(_mixed(values[at].astype(np.uint64), place), np.cumsum(n) - n)
+    return _mix(out)
+
+
+class _Words:
+    """The words of several texts, one after the other, as hashes.
+
+    For each run of ``least`` words the seed of least hash inside it is picked, so equal runs pick equal seeds
+    wherever they stand.
     """
-    k = min(SEED_WORDS, least)
-    n = len(words) - k + 1
-    h = np.fromiter((_HASHES[w] for w in words), np.uint64, len(words))
-    seeds = np.zeros(n, np.uint64)
-    for j in range(k):
-        seeds *= np.uint64(0x9E3779B97F4A7C15)
-        seeds += h[j : j + n]
-    seeds = _mix(seeds)
-    runs = np.lib.stride_tricks.sliding_window_view(seeds, least - k + 1)
-    return seeds, runs.argmin(axis=1) + np.arange(len(runs))
-
-
-def _lines(text: str, most: int) -> list[tuple[int, int]]:
-    """(first word, words) of every line of one to ``most`` words."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        n = len(line.split())
-        if 0 < n <= most:
-            out.append((at, n))
-        at += n
-    return out
+
+    def __init__(self, texts: list[str], least: int) -> None:
+        whole = "\n".join(texts)
+        self.least = least
+        codes, self.starts, self.ends = self.cut(whole)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begins = np.cumsum(lengths) - lengths  # of the texts, in code points
+        self.firsts = np.searchsorted(self.starts, self.begins)
+        self.counts = np.diff(np.append(self.firsts, len(self.starts)))
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+        # Lines that hold a word.
+        self.line = np.unique(np.append(np.searchsorted(self.starts, np.flatnonzero(codes == 10)), 0))
+        self.line = self.line[self.line < len(self.starts)]
+        self.line_words = np.diff(np.append(self.line, len(self.starts)))
+        lower = whole.lower()
+        if len(lower) == len(whole):
+            codes, starts, ends = np.frombuffer(lower.encode("utf-32-le"), "<u4"), self.starts, self.ends
+        else:  # some letters become two
+            codes, starts, ends = self.cut(lower)
+        self.h = _sums(codes, starts, ends - starts)
+
+    @staticmethod
+    def cut(whole: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code points, and where words start and end."""
+        codes = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        inside = np.zeros(len(codes) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[codes]
+        steps = np.diff(inside)
+        return codes, np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+    def lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of every word, the second drawn from the first."""
+        return self.h, _mix(self.h ^ np.uint64(0xD1B54A32D192ED03))
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(seed, its first word, first run, runs) of all runs, one after the other, that pick the same seed."""
+        k = min(SEED_WORDS, self.least)
+        n = len(self.h) - self.least + 1
+        if n < 1:
+            none = np.zeros(0, np.int64)
+            return none.view(np.uint64), none, none, none
+        seeds = np.zeros(len(self.h) - k + 1, np.uint64)
+        for j in range(k):
+            seeds *= np.uint64(0x9E3779B97F4A7C15)
+            seeds += self.h[j : j + len(seeds)]
+        seeds = _mix(seeds)
+        picked, value, size = np.arange(len(seeds)), seeds, 1
+        while size < (wide := self.least - k + 1):
+            step = min(size, wide - size)
+            right = value[step:] < value[:-step]
+            picked = np.where(right, picked[step:], picked[:-step])
+            value = np.where(right, value[step:], value[:-step])
+            size += step
+        runs = np.flatnonzero(self.text[:n] == self.text[self.least - 1 :])
+        if not len(runs):
+            return seeds[:0], runs, runs, runs
+        picked = picked[runs]
+        edges = np.flatnonzero(np.diff(picked, prepend=-1))
+        places = picked[edges]
+        return seeds[places], places, runs[edges], np.diff(np.append(edges, len(runs)))
+
+
+def _sorted_lists(text: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
+    """Lists of the values of each of ``n`` texts."""
+    order = np.argsort(text, kind="stable")
+    offsets = pa.array(np.searchsorted(text[order], np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
 
 
 FEATURES = T.StructType(
@@ -293,16 +370,21 @@ FEATURES = T.StructType(
     ]
 )
 
-GRAMS = T.StructType(
+BLOCKS = T.StructType(
     [
         T.StructField("high", T.LongType()),
         T.StructField("low", T.IntegerType()),
+        T.StructField("seed", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("row", T.LongType()),
         T.StructField("word", T.IntegerType()),
-        T.StructField("words", T.IntegerType()),
+        T.StructField("words", T.IntegerType()),  # of each run
         T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
+        # Of each run; starts and ends from the block's start.
+        T.StructField("highs", T.ArrayType(T.LongType())),
+        T.StructField("lows", T.ArrayType(T.IntegerType())),
+        T.StructField("starts", T.ArrayType(T.IntegerType())),
+        T.StructField("ends", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -320,69 +402,155 @@ def _features(docs: DataFrame, least: int, least_line: int) -> DataFrame:
     def run(batches):
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in FEATURES]
-            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = text.lower().split() if text else []
-                if words:
-                    seeds, places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                    if len(words) >= least:
-                        seeds, picked = _picked(words, least)
-                        places = np.unique(picked)
-                        seeds = seeds[places]
-                    lines = [x for x in _lines(text, least - 1) if x[1] >= least_line]
-                    if lines:
-                        whole = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + n])) for i, n in lines]
-                        seeds = np.concatenate([seeds, np.array(whole, np.uint64)])
-                        places = np.concatenate([places, [-1 - i for i, _ in lines]])
-                    start, end = len(text) - len(text.lstrip()), len(text.rstrip())
-                    values = (row, doc_id, key, start, end, len(words), seeds.view(np.int64), places.astype(np.int32))
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                row += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, _FEATURE_TYPES, strict=True)], FEATURES.names
-            )
+            texts = batch.column(1).fill_null("").to_pylist()
+            words = _Words(texts, least)
+            seeds, places, _, _ = words.blocks()
+            chosen = (words.line_words >= least_line) & (words.line_words < least)
+            lines, sizes = words.line[chosen], words.line_words[chosen]
+            at = np.concatenate([words.text[places], words.text[lines]])
+            seeds = np.concatenate([seeds, _sums(words.h, lines, sizes)]).view(np.int64)
+            first = words.firsts[at]
+            places = np.concatenate([places, -1 - lines]) + np.where(np.arange(len(at)) < len(places), -first, first)
+            lists = _sorted_lists(at, len(texts), seeds, places.astype(np.int32))
+            held = np.flatnonzero(words.counts)
+            first = words.firsts[held]
+            start = words.starts[first] - words.begins[held]
+            end = words.ends[first + words.counts[held] - 1] - words.begins[held]
+            rows = pa.array(row + held)
+            row += len(texts)
+            numbers = [pa.array(x.astype(np.int32)) for x in (start, end, words.counts[held])]
+            take = pa.array(held)
+            doc_id, key = batch.column(0).take(take), batch.column(2).take(take)
+            arrays = [rows, doc_id, key, *numbers, *[x.take(take) for x in lists]]
+            yield pa.RecordBatch.from_arrays(arrays, FEATURES.names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key())
     return durable(rows.mapInArrow(run, FEATURES), "seeds")
 
 
-_FEATURE_TYPES = [
-    pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())
-]
+def _block_table(texts: DataFrame, least: int) -> DataFrame:
+    """Blocks whose seed is in ``places``, for texts (doc_id, row, text, places).
 
-
-def _gram_table(texts: DataFrame, least: int) -> DataFrame:
-    """Runs of ``least`` words and lines whose seed is in ``places``, for texts (doc_id, row, text, places)."""
+    A block is all runs of ``least`` words, one after the other, that pick the same seed. A line is a block of one run.
+    """
 
     def run(batches):
         for batch in slices(batches, "text"):
-            columns: list[list] = [[] for _ in GRAMS]
-            high, low, ids, rows, firsts, counts, starts, ends = columns
-            for doc_id, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = text.lower().split()
-                at = [m.span() for m in _WORD.finditer(text)]
-                marked = set(places)
-                begins = [x for x in _lines(text, least - 1) if -1 - x[0] in marked]
-                if len(words) >= least:
-                    _, picked = _picked(words, least)
-                    begins += [(i, least) for i in np.flatnonzero(np.isin(picked, places)).tolist()]
-                for i, n in begins:
-                    digest = xxhash.xxh3_128_intdigest(" ".join(words[i : i + n]))
-                    high.append(digest >> 64)
-                    low.append(digest & 0xFFFFFFFF)
-                    ids.append(doc_id)
-                    rows.append(row)
-                    firsts.append(i)
-                    counts.append(n)
-                    starts.append(at[i][0])
-                    ends.append(at[i + n - 1][1])
-            types = [pa.uint64(), pa.uint32(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            arrays[:2] = arrays[0].view(pa.int64()), arrays[1].view(pa.int32())
-            yield pa.RecordBatch.from_arrays(arrays, GRAMS.names)
-
-    return durable(texts.select("doc_id", "row", "text", "places").mapInArrow(run, GRAMS), "grams")
+            words = _Words(batch.column(2).to_pylist(), least)
+            flat = batch.column(3).flatten().to_numpy()
+            first = np.repeat(words.firsts, batch.column(3).value_lengths().to_numpy())
+            marked = np.zeros(len(words.h), bool)
+            marked[(flat + first)[flat >= 0]] = True
+            blocks = words.blocks()
+            seeds, _, at, n_runs = (x[marked[blocks[1]]] for x in blocks)
+            marked[:] = False
+            marked[(first - 1 - flat)[flat < 0]] = True
+            chosen = marked[words.line] & (words.line_words < least)
+            lines, sizes = words.line[chosen], words.line_words[chosen]
+            line_high, line_low = (_sums(x, lines, sizes) for x in words.lanes())
+            # The first and the last run of a block hold all its words.
+            lanes = [_run_hashes(x, least) if len(at) else x[:0] for x in words.lanes()]
+            ends = [_mixed(_mixed(x[at], x[at + n_runs - 1]), n_runs.astype(np.uint64)) for x in lanes]
+            inner = ragged(at, n_runs)
+            n_runs = np.concatenate([n_runs, np.ones(len(lines), np.int64)])
+            at, begin, stop = np.concatenate([at, lines]), np.concatenate([inner, lines]), np.concatenate([inner + least, lines + sizes])
+            begin, stop = words.starts[begin], words.ends[stop - 1]
+            start = words.starts[at]
+            text = pa.array(words.text[at])
+            high, low = (np.concatenate(x) for x in ((ends[0], line_high), (ends[1], line_low)))
+            highs, lows = (np.concatenate([x[inner], y]) for x, y in zip(lanes, (line_high, line_low), strict=True))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_runs)]).astype(np.int32))
+            # Equal lines are equal blocks, so any number drawn from the line does for its seed.
+            seeds = np.concatenate([seeds, line_high]).view(np.int64)
+            size = np.concatenate([np.full(len(at) - len(lines), least), sizes])
+            arrays = [high.view(np.int64), low.astype(np.uint32).view(np.int32), seeds]
+            arrays += [batch.column(0).take(text), batch.column(1).take(text)]
+            arrays += [x.astype(np.int32) for x in (at - words.firsts[words.text[at]], size, start - words.begins[words.text[at]])]
+            lists = [highs.view(np.int64), lows.astype(np.uint32).view(np.int32)]
+            lists += [(x - np.repeat(start, n_runs)).astype(np.int32) for x in (begin, stop)]
+            arrays += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], BLOCKS.names)
+
+    return durable(texts.select("doc_id", "row", "text", "places").mapInArrow(run, BLOCKS), "blocks")
+
+
+def _kept(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks without their runs' digests, and (high, low, first, last, words, kept): for the blocks of a digest, where
+    their runs ``first`` to ``last`` stand earliest.
+
+    ``kept`` is the place of the run ``first``; the others stand there one word on each. Equal blocks hold equal runs, so the
+    earliest stands for them, and runs are compared where one seed is in different blocks only.
+    """
+    # A seed is in different blocks if their digests differ anywhere.
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("high", "low") for n, f in (("least", F.min), ("most", F.max))]
+    mixed = (
+        blocks.groupBy("seed")
+        .agg(*ranges)
+        .filter("least_high <> most_high OR least_low <> most_low")
+        .select(F.bitwise_not("seed").alias("_seed"), F.lit(True).alias("mixed"))
+    )
+    rank = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rank")
+    leads = (
+        blocks.groupBy("high", "low")
+        .agg(
+            F.min(F.struct(rank, "row", "word", "doc_id", "start", "starts", "ends")).alias("lead"),
+            *[F.first(c).alias(c) for c in ("seed", "words", "highs", "lows")],
+        )
+        .select("high", "low", F.bitwise_not("seed").alias("_seed"), "words", "highs", "lows", "lead.*")
+    )
+    leads = durable(leads.join(mixed, "_seed", "left").drop("_seed"), "leads")
+    narrow = durable(blocks.drop("highs", "lows", "seed"), "narrow")
+    forget(blocks)
+    alone = leads.filter("mixed IS NULL").select(
+        "high",
+        "low",
+        F.lit(0).alias("first"),
+        (F.size("starts") - 1).alias("last"),
+        "words",
+        F.struct("row", "word", "start", (F.col("start") + F.col("ends")[0]).alias("end"), "doc_id").alias("kept"),
+    )
+    runs = (
+        leads.filter("mixed")
+        .select("*", F.posexplode(F.arrays_zip("highs", "lows", "starts", "ends")).alias("i", "run"))
+        .select(
+            "high",
+            "low",
+            "words",
+            "i",
+            F.col("run.highs").alias("run_high"),
+            F.col("run.lows").alias("run_low"),
+            F.struct(
+                "rank",
+                "row",
+                (F.col("word") + F.col("i")).alias("word"),
+                (F.col("start") + F.col("run.starts")).alias("start"),
+                (F.col("start") + F.col("run.ends")).alias("end"),
+                "doc_id",
+            ).alias("place"),
+        )
+    )
+    earliest = durable(runs.groupBy("run_high", "run_low").agg(F.min("place").alias("kept")), "earliest")
+    keys = [F.bitwise_not(c).alias(f"_{c}") for c in ("run_high", "run_low")]
+    parts = (
+        runs.select("high", "low", "words", "i", *keys)
+        .join(earliest.select(*keys, "kept"), ["_run_high", "_run_low"])
+        # Runs that are kept one after the other go together. One between them that is kept elsewhere
+        # is repeated as well, so it may be covered twice.
+        .groupBy("high", "low", "words", F.col("kept.row"), (F.col("kept.word") - F.col("i")).alias("shift"))
+        .agg(F.min(F.struct("i", "kept")).alias("begin"), F.max("i").alias("last"))
+        .select(
+            "high",
+            "low",
+            F.col("begin.i").alias("first"),
+            "last",
+            "words",
+            F.struct(*[f"begin.kept.{c}" for c in ("row", "word", "start", "end", "doc_id")]).alias("kept"),
+        )
+    )
+    kept = durable(alone.unionByName(parts), "kept")
+    forget(earliest)
+    forget(leads)
+    return narrow, kept
 
 
 def repeated_passages(
@@ -410,45 +578,42 @@ def repeated_passages(
         .select("key", "lead.row", "lead.doc_id", "copies", "seeds", "places"),
         "classes",
     )
+    # Seeds are the bulk of both tables, so each goes as soon as it is read for the last time.
+    rows = durable(found.drop("seeds", "places"), "rows")
+    forget(found)
     # A class is named by its row until its places are together: no more is moved with each seed.
     seeds = classes.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
         "row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")
     )
     twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    marked = (
+    marked = durable(
         seeds.select("row", "place", F.bitwise_not("seed").alias("_k"))
         .join(twice.select(F.bitwise_not("seed").alias("_k")), "_k")
         .groupBy("row")
         .agg(F.collect_list("place").alias("places"))
-        .join(classes.select("key", "row", "doc_id"), "row")
+        .join(classes.select("key", "row", "doc_id"), "row"),
+        "marked",
     )
+    named = durable(classes.drop("seeds", "places"), "named")
+    forget(classes)
     texts = docs.select(_text_key(), "text").filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
-    grams = _gram_table(texts.join(marked, "key"), least_words)
-    # Runs that stand once are told by their digests alone; of the others the earliest is kept. As many words as a
-    # run of the same digest has need not go with it.
-    twice_runs = (
-        grams.groupBy("high", "low")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select(F.bitwise_not("high").alias("_high"), F.bitwise_not("low").alias("_low"))
-    )
-    keyed = grams.withColumns({"_high": F.bitwise_not("high"), "_low": F.bitwise_not("low")}).drop("high", "low")
-    grams = durable(keyed.join(twice_runs, ["_high", "_low"]), "repeats")
-    place = F.struct(F.coalesce("doc_id", last).alias("rank"), "row", "word", "start", "end", "doc_id")
-    kept = grams.groupBy("_high", "_low").agg(F.min(place).alias("kept"))
+    blocks, kept = _kept(_block_table(texts.join(marked, "key"), least_words))
+    names = {c: F.bitwise_not(c).alias(f"_{c}") for c in ("high", "low")}
     own = F.col("row") == F.col("kept.row")
+    word = F.col("word") + F.col("first")
+    start = F.col("start") + F.col("starts")[F.col("first")]
     later = (
-        grams.withColumns({"high": F.bitwise_not("_high"), "low": F.bitwise_not("_low")})
-        .join(kept.select(F.bitwise_not("_high").alias("high"), F.bitwise_not("_low").alias("low"), "kept"), ["high", "low"])
-        .filter(~(own & (F.col("word") == F.col("kept.word"))))
+        blocks.select(*names.values(), "row", "doc_id", "word", "start", "starts", "ends")
+        .join(kept.select(*names.values(), "first", "last", "words", "kept"), ["_high", "_low"])
+        .filter(~(own & (word == F.col("kept.word"))))
         # A run that overlaps the one kept in its own text leaves that one whole.
         .select(
             "row",
             "doc_id",
-            F.when(own, F.greatest("word", F.col("kept.word") + F.col("words"))).otherwise(F.col("word")).alias("word"),
-            (F.col("word") + F.col("words")).alias("stop"),
-            F.when(own, F.greatest("start", "kept.end")).otherwise(F.col("start")).alias("start"),
-            "end",
+            F.when(own, F.greatest(word, F.col("kept.word") + F.col("words"))).otherwise(word).alias("word"),
+            (F.col("word") + F.col("last") + F.col("words")).alias("stop"),
+            F.when(own, F.greatest(start, "kept.end")).otherwise(start).alias("start"),
+            (F.col("start") + F.col("ends")[F.col("last")]).alias("end"),
             F.col("kept.doc_id").alias("kept_doc_id"),
             F.col("kept.start").alias("kept_start"),
         )
@@ -484,12 +649,12 @@ def repeated_passages(
     begun = spans.filter("word = 0").select(
         F.col("row").alias("lead"), F.lit(True).alias("moved"), F.col("kept_doc_id").alias("_id"), F.col("kept_start").alias("_at")
     )
-    several = classes.filter("copies > 1").select(
+    several = named.filter("copies > 1").select(
         F.reverse("key").alias("_k"), F.col("row").alias("lead"), F.col("doc_id").alias("lead_id")
     )
     kept_whole = several.join(begun, "lead", "left")
     copies = (
-        found.withColumn("_k", F.reverse("key"))
+        rows.withColumn("_k", F.reverse("key"))
         .join(kept_whole, "_k")
         .filter((F.col("row") != F.col("lead")) & (F.col("n_words") >= min(least_words, least_line_words)))
         .select(

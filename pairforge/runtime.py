@@ -95,6 +95,14 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``durable`` wrote, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        system, place = _file_system(df.sparkSession, os.path.dirname(files[0]))
+        system.delete(place, True)
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as it takes it."""
     context = spark.sparkContext

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pairforge import runtime
@@ -122,3 +123,47 @@ def test_the_session_is_as_before_once_a_table_is_there(spark):
     before = spark.conf.get(runtime.SHUFFLES_GO, None)
     assert runtime.durable(spark.range(1000).selectExpr("id % 7 AS k").distinct(), "counts").count() == 7
     assert spark.conf.get(runtime.SHUFFLES_GO, None) == before
+
+
+def test_runs_that_follow_each_other_move_as_blocks(documents, monkeypatch):
+    rng = random.Random(12)
+    passage = words(rng, 4000, 10**6)
+    rows = [(i, " ".join([*words(rng, 40, 10**6), *passage, *words(rng, 40, 10**6)])) for i in range(3)]
+    written = {}
+
+    def counted(df, name="table"):
+        out = runtime.durable(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(substrings, "durable", counted)
+    got = found(documents(rows), dict(rows))
+    assert {(i, n) for i, _, _, n in got} == {(1, 4000), (2, 4000)}
+    # A row for each of the 3 * 3976 runs would be four times as many.
+    assert max(written.values()) < 3000
+
+
+def test_texts_that_differ_in_single_words_equal_the_plain_rule(documents):
+    rng = random.Random(13)
+    passage = words(rng, 300)
+    rows = []
+    for i in range(25):
+        text = list(passage)
+        for _ in range(rng.randrange(12)):
+            text[rng.randrange(300)] = rng.choice(["new", "NEW", f"n{i}", "İx", "ΑΣ"])
+        text = text * 2 if i % 6 == 5 else text
+        rows.append((i, "".join(w + rng.choice([" ", "  ", " ", "\n", "\u2003", "\x1c"]) for w in text)))
+    rows += [(60, "a b " * 90), (61, "b a " * 40 + "\n" + "a b\nc " * 30), (62, "x " * 24 + "y " * 24 + "x " * 24)]
+    assert found(documents(rows), dict(rows)) == plain(rows)
+
+
+def test_words_of_several_texts_are_those_of_each():
+    texts = ["One two\n\nthree", "", " \n ", "İstanbul ΑΣ ΑΣ'\nx\x85y\xa0z", "x" * 70_000 + " y\r\n", "\u200b \U0001f600a"]
+    got = substrings._Words(texts, 3)
+    flat = [w for t in texts for w in t.lower().split()]
+    assert got.counts.tolist() == [len(t.split()) for t in texts]
+    at = [m.span() for t in texts for m in re.finditer(r"\S+", t)]
+    assert list(zip((got.starts - got.begins[got.text]).tolist(), (got.ends - got.begins[got.text]).tolist(), strict=True)) == at
+    assert len(set(flat)) == len(np.unique(got.h)) == len(set(zip(flat, got.h.tolist(), strict=True)))
+    lines = [w for t in texts for line in t.split("\n") if (w := len(line.split()))]
+    assert got.line_words.tolist() == lines
