@@ -95,17 +95,18 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.n
 
 
 def _round(
-    symbols: np.ndarray, open_: np.ndarray, least: int, next_symbol: int, limit: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Symbols after one round, where pairs begin that may repeat, and the keys of the new nonterminals' pairs.
+    symbols: np.ndarray, open_: np.ndarray, least: int, next_symbol: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols after one round, where pairs begin that may repeat, and the new nonterminals' pairs.
 
     ``open_`` are such places before it: a pair that is alone stays so until one of its symbols changes. At
-    least one pair is replaced if any occurs ``least`` times without overlap. No keys (None) and nothing
-    done where two bytes cannot number the pairs.
+    least one pair is replaced if any occurs ``least`` times without overlap. Symbols get four bytes
+    where two cannot number the pairs.
     """
     half = 8 * symbols.dtype.itemsize
     wide = np.uint32 if half == 16 else np.uint64
-    left, right = symbols[open_], symbols[open_ + 1]
+    whole = len(open_) == len(symbols) - 1
+    left, right = (symbols[:-1], symbols[1:]) if whole else (symbols[open_], symbols[open_ + 1])
     # Of a run of one symbol every other pair counts.
     equal = np.flatnonzero(left == right)
     if len(equal):
@@ -119,46 +120,49 @@ def _round(
     else:
         later, at = open_[:0], open_
     keys = left.astype(wide) << wide(half) | right
-    slots = _hashed(keys, bits := len(keys).bit_length() + 2)
-    held = np.bincount(slots, minlength=1 << bits)[slots]
-    many = held >= least
+    slots = _hashed(keys, bits := max(8, len(keys).bit_length())).astype(np.intp)
+    held = np.minimum(np.bincount(slots, minlength=1 << bits), 0xFFFF).astype(np.uint16)[slots]
+    many = np.flatnonzero(held >= min(least, 0xFFFF))
     frequent = keys[many]
-    chosen, _ = _frequent(frequent, least, limit - next_symbol) if len(frequent) else (frequent, None)
+    chosen, _ = _frequent(frequent, least, (1 << 32) - next_symbol) if len(frequent) else (frequent, None)
     repeats = held >= LEAST_COUNT
-    if len(chosen) == limit - next_symbol and half == 16:  # numbers run out: the caller widens
-        return symbols, open_, None
     if not len(chosen):
-        return symbols, np.sort(np.concatenate([at[repeats], later])), chosen
+        return symbols, np.sort(np.concatenate([at[repeats], later])), np.zeros((0, 2), np.int64)
     # Two pairs of one slot: the commoner, which is written last, goes first; the other waits for the next round.
     table = np.zeros(1 << (bits := len(chosen).bit_length() + 4), np.int32)
     table[_hashed(chosen, bits)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
     rule = table[_hashed(frequent, bits)]
     hit = np.flatnonzero(chosen[rule] == frequent)
-    rule, place = rule[hit], at[many][hit]
+    rule, place = rule[hit], at[many[hit]]
     # Of two that overlap the commoner (the smaller number) wins.
     linked = np.diff(place) == 1
     wins = np.ones(len(place), bool)
     wins[:-1] &= ~(linked & (rule[1:] < rule[:-1]))
     wins[1:] &= ~(linked & (rule[:-1] < rule[1:]))
+    wins = np.flatnonzero(wins)
     place, rule = place[wins], rule[wins]
     pays = np.bincount(rule, minlength=len(chosen)) >= LEAST_COUNT
-    wins = pays[rule]
-    place, rule = place[wins], rule[wins]
-    numbers = (next_symbol + np.cumsum(pays) - 1).astype(symbols.dtype)
-    symbols = symbols.copy()
-    symbols[place] = numbers[rule]
+    if not pays.all():
+        wins = pays[rule]
+        place, rule = place[wins], rule[wins]
+    numbers = next_symbol + np.cumsum(pays) - 1
+    symbols = symbols.astype(np.uint16 if half == 16 and numbers[-1] < 1 << 16 else np.uint32)
+    symbols[place] = numbers.astype(symbols.dtype)[rule]
     keep = np.ones(len(symbols), bool)
     keep[place + 1] = False
     fresh = np.zeros(len(symbols), bool)
-    fresh[at[repeats]] = True
+    fresh[at] = repeats
     fresh[later] = True
     fresh[place] = True
     # The symbol before a new one is the symbol at ``place - 1``, or the new one that took it in.
     before = place[place > 0] - 1
     fresh[np.where(keep[before], before, before - 1)] = True
+    keep = np.flatnonzero(keep)
     fresh = fresh[keep]
     fresh[-1] = False
-    return symbols[keep], np.flatnonzero(fresh), chosen[pays]
+    pairs = chosen[pays]
+    pairs = np.stack([pairs >> wide(half), pairs & wide((1 << half) - 1)], 1).astype(np.int64)
+    return symbols[keep], np.flatnonzero(fresh), pairs
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -175,17 +179,11 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     bar = max(LEAST_COUNT, len(symbols) // START)
     open_ = np.arange(len(symbols) - 1)
     while len(open_):
-        limit = 1 << 8 * symbols.dtype.itemsize
-        symbols, open_, keys = _round(symbols, open_, bar, first + made, limit)
-        if keys is None:
-            symbols = symbols.astype(np.uint32)
-            continue
-        if not len(keys) and bar == LEAST_COUNT:
+        symbols, open_, pairs = _round(symbols, open_, bar, first + made)
+        if not len(pairs) and bar == LEAST_COUNT:
             break
-        keys = keys.astype(np.uint64)
-        half = np.uint64(8 * symbols.dtype.itemsize)
-        rules.append(np.stack([keys >> half, keys & np.uint64((1 << int(half)) - 1)], 1).astype(np.int64))
-        made += len(keys)
+        rules.append(pairs)
+        made += len(pairs)
         bar = max(LEAST_COUNT, bar // 8)
     return first, np.concatenate(rules), symbols
 

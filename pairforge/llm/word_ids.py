@@ -9,6 +9,7 @@ Any other file is used as it is, on whole texts.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 CACHED_WORDS = 600_000  # encoded words a worker keeps, the first it meets
@@ -29,6 +30,19 @@ CUT = {
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Lower-case letters that no step changes, in the bytes of UTF-8.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(b"(?:" + b"|".join([b"[a-z]++", *(c.encode() for c in _LETTERS[26:])]) + b")+")
+
+
+def _byte_letters() -> str:
+    """The letters that stand for the bytes in a byte-level vocabulary, by byte."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join([chr(b) if b in own else chr(next(others)) for b in range(256)])
+
+
+_AS_LETTERS = dict(enumerate(_byte_letters()))
 
 
 def keeps_words_apart(vocabulary: dict) -> bool:
@@ -58,9 +72,10 @@ class WordIds(dict):
         if core != word and core[-1:].isalnum() and b"'" not in word and b"<|" not in word:
             # Letters and the punctuation after them are encoded apart by the vocabulary too.
             ids = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and word.islower():
-            # a-z only: nothing to fold, and one piece for the model.
-            ids = array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        elif _PLAIN.fullmatch(word):
+            # Nothing to fold, and one piece for the model.
+            letters = word.decode() if word.isascii() else word.decode("latin-1").translate(_AS_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         else:
             ids = self.whole(word.decode("utf-8", "replace"))
         if len(word) <= CACHED_BYTES and len(self) < self.cached:
@@ -72,7 +87,7 @@ class WordIds(dict):
             return self.whole(text.decode("utf-8", "replace"))
         # The vocabulary folds case itself; only its special tokens are told by case.
         text = text if b"<|" in text else text.lower()
-        return b"".join([self[w] for w in text.split()])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _KEPT: dict[tuple[str, int], WordIds] = {}

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pairforge.llm import token_grammar as G
-from pairforge.llm.word_ids import word_ids
+from pairforge.llm.word_ids import _LETTERS, WordIds, word_ids
 from pairforge.runtime import fresh_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,14 @@ def test_words_are_encoded_like_texts(text):
     assert encoder.encode(text.encode()) == encoder.whole(text)
 
 
+def test_words_of_plain_letters_go_to_the_model_alone(monkeypatch):
+    encoder = WordIds(PATH)
+    words = [w for c in _LETTERS for w in (c, 3 * c, f"a{c}b", f"{c}e")] + ["ñracoue", "zuenöüclich", "entäßtè"]
+    want = [encoder.whole(w) for w in words]
+    monkeypatch.setattr(WordIds, "whole", None)
+    assert [encoder.encode(w.encode()) for w in words] == want
+
+
 def test_words_of_the_tables_are_encoded_like_texts(spark):
     encoder = word_ids(PATH)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
@@ -150,3 +158,11 @@ def test_numbers_beyond_two_bytes_do_not_end_the_grammar():
     first, rules, symbols, _, back = unpacked(ids)
     assert (back == ids).all() and not _repeated(symbols)
     assert first + len(rules) > 1 << 16 and symbols.dtype == np.uint32
+
+
+def test_a_round_numbers_more_pairs_than_two_bytes_hold():
+    ids = np.repeat(np.random.default_rng(4).integers(0, 65_500, (1, 40_000)), 2, axis=0).ravel().astype(np.uint16)
+    symbols, _, pairs = G._round(ids, np.arange(len(ids) - 1), 2, 65_500)
+    assert symbols.dtype == np.uint32 and len(pairs) > 36
+    lengths = G.rule_lengths(65_500, pairs)
+    assert (G.expand(symbols, 65_500, pairs, lengths) == ids).all()
