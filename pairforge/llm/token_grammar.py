@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.llm.common import slices, utf8
+from pairforge.llm.common import slices
 from pairforge.llm.packing import END
 from pairforge.llm.word_ids import word_ids
 from pairforge.runtime import broadcast_if_small
@@ -76,11 +76,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # --- grammar --------------------------------------------------------------------------
 
 
-def _hashed(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of a table of 2^bits entries, by a multiplication that wraps around."""
+def _hashed(keys: np.ndarray, bits: int, turn: int = 0) -> np.ndarray:
+    """Slots of a table of 2^bits entries, by a multiplication that wraps around; others in each ``turn``."""
     width = 8 * keys.dtype.itemsize
-    odd = keys.dtype.type(0x9E3779B1 if width == 32 else 0x9E3779B97F4A7C15)
-    return keys * odd >> keys.dtype.type(width - bits)
+    odd = pow(0x9E3779B1 if width == 32 else 0x9E3779B97F4A7C15, 2 * turn + 1, 1 << width)
+    return keys * keys.dtype.type(odd) >> keys.dtype.type(width - bits)
 
 
 def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +95,12 @@ def _frequent(keys: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.n
 
 
 def _round(
-    symbols: np.ndarray, open_: np.ndarray, least: int, next_symbol: int
+    symbols: np.ndarray, open_: np.ndarray, least: int, next_symbol: int, turn: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols after one round, where pairs begin that may repeat, and the new nonterminals' pairs.
 
-    ``open_`` are such places before it: a pair that is alone stays so until one of its symbols changes. At
+    ``open_`` are such places before it: a pair that is alone stays so until one of its symbols changes. Which
+    pairs share a slot depends on ``turn``, so that a lone one does not stay open round after round. At
     least one pair is replaced if any occurs ``least`` times without overlap. Symbols get four bytes
     where two cannot number the pairs.
     """
@@ -120,7 +121,7 @@ def _round(
     else:
         later, at = open_[:0], open_
     keys = left.astype(wide) << wide(half) | right
-    slots = _hashed(keys, bits := max(8, len(keys).bit_length())).astype(np.intp)
+    slots = _hashed(keys, bits := max(8, len(keys).bit_length()), turn).astype(np.intp)
     held = np.minimum(np.bincount(slots, minlength=1 << bits), 0xFFFF).astype(np.uint16)[slots]
     many = np.flatnonzero(held >= min(least, 0xFFFF))
     frequent = keys[many]
@@ -157,12 +158,14 @@ def _round(
     # The symbol before a new one is the symbol at ``place - 1``, or the new one that took it in.
     before = place[place > 0] - 1
     fresh[np.where(keep[before], before, before - 1)] = True
-    keep = np.flatnonzero(keep)
-    fresh = fresh[keep]
-    fresh[-1] = False
+    fresh = np.flatnonzero(fresh & keep)
+    symbols = symbols[keep]
+    fresh = (np.cumsum(keep, dtype=np.int32) - 1)[fresh].astype(np.intp)
+    if len(fresh) and fresh[-1] == len(symbols) - 1:
+        fresh = fresh[:-1]
     pairs = chosen[pays]
     pairs = np.stack([pairs >> wide(half), pairs & wide((1 << half) - 1)], 1).astype(np.int64)
-    return symbols[keep], np.flatnonzero(fresh), pairs
+    return symbols, fresh, pairs
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -174,16 +177,17 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     # Two bytes a symbol as long as its numbers last, then four.
     symbols = ids.astype(np.uint16 if first < 1 << 16 else np.uint32)
     rules = [np.zeros((0, 2), np.int64)]
-    made = 0
+    made = turn = 0
     # The bar starts where only the most frequent pairs pass, and falls down to two.
     bar = max(LEAST_COUNT, len(symbols) // START)
     open_ = np.arange(len(symbols) - 1)
     while len(open_):
-        symbols, open_, pairs = _round(symbols, open_, bar, first + made)
+        symbols, open_, pairs = _round(symbols, open_, bar, first + made, turn)
         if not len(pairs) and bar == LEAST_COUNT:
             break
         rules.append(pairs)
         made += len(pairs)
+        turn += 1
         bar = max(LEAST_COUNT, bar // 8)
     return first, np.concatenate(rules), symbols
 
@@ -303,14 +307,14 @@ def write_tokens(
 
     ``vocabulary`` is the path of a tokenizer file that every executor can read.
     """
-    closing = np.array([end], "<u4").tobytes()
+    closing = np.array([end], "<u4")
 
     def run(batches):
-        encode = word_ids(vocabulary).encode
+        encode = word_ids(vocabulary).encode_all
         pieces = _Pieces(TaskContext.get().partitionId(), shard_tokens)
         for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)).to_pylist(), strict=True):
-                for row in pieces.add(doc_id, np.frombuffer(encode(text) + closing, "<u4")):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                for row in pieces.add(doc_id, np.concatenate([ids, closing])):
                     yield _record_batch(row)
         if pieces.held:
             yield _record_batch(pieces.close())

@@ -5,13 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pairforge.llm import token_grammar as G
-from pairforge.llm.word_ids import word_ids
+from pairforge.llm.word_ids import WordIds, word_ids
 from pairforge.runtime import fresh_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +79,35 @@ def test_other_vocabularies_are_used_on_whole_texts():
         assert encoder.encode(text.encode()) == encoder.whole(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="abcxyzABZéÉßñÿ÷×ªİΣσς 0129'.,!-—<|>\t\n\x0b\x1c\x85\xa0\u0301", max_size=40), max_size=8))
+def test_columns_are_encoded_like_texts(texts):
+    encoder = WordIds(PATH, cached=5) if len(texts) % 2 else word_ids(PATH)
+    got = encoder.encode_all(pa.array(texts, pa.string()))
+    assert [g.tobytes() for g in got] == [encoder.whole(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_odd_columns_are_encoded_like_texts(name):
+    encoder = WordIds(public_tokenizers.path(name))
+    for texts in (ODD, [None, *ODD, "", " "], ["", None], [], ["x" * 100 + "é" * 100 + ", " + "12.5 3-4, é). ñ|"] * 3):
+        column = pa.array(["cut off", *texts], pa.string())[1:]
+        for _ in range(2):
+            assert [g.tobytes() for g in encoder.encode_all(column)] == [encoder.whole(t or "") for t in texts]
+
+
+def test_a_column_looks_a_word_up_once_whatever_follows_it(monkeypatch):
+    encoder = WordIds(PATH, cached=4)
+    words = ["zuenöüclich", "entäßtè", "ñracoue", "erlyblest"]
+    texts = [" ".join([w + marks for w in words]) for marks in ("", ",", ".", "!!", ")", "$$$") * 9]
+    want = [encoder.whole(t) for t in texts]
+    calls = []
+    monkeypatch.setattr(WordIds, "whole", lambda self, text, whole=WordIds.whole: calls.append(text) or whole(self, text))
+    assert [g.tobytes() for g in encoder.encode_all(pa.array(texts))] == want
+    assert not [c for c in calls if c[0].isalpha()]  # letters go to the model alone
+    assert len(calls) <= 5 * len(words)
+
+
 def plain(rows):
     """Every document's ids in the order of the file set."""
     tokenizer = Tokenizer.from_file(PATH)
@@ -158,3 +188,19 @@ def test_a_round_numbers_more_pairs_than_two_bytes_hold():
     assert symbols.dtype == np.uint32 and len(pairs) > 36
     lengths = G.rule_lengths(65_500, pairs)
     assert (G.expand(symbols, 65_500, pairs, lengths) == ids).all()
+
+
+def test_lone_pairs_do_not_stay_open(monkeypatch):
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.zipf(1.3, 200_000) + rng.integers(0, 3000, 200_000), 49_408).astype(np.uint32)
+    left = []
+    rounds = G._round
+
+    def watched(symbols, open_, *more):
+        left.append(len(open_) / len(symbols))
+        return rounds(symbols, open_, *more)
+
+    monkeypatch.setattr(G, "_round", watched)
+    _, _, symbols, _, back = unpacked(ids)
+    assert (back == ids).all() and not _repeated(symbols)
+    assert left[-1] < 0.05
